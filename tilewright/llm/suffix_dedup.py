@@ -9,8 +9,9 @@ found first, then ordered:
    hashes (about one for 16 bytes) and learns which of them other texts have.
 2. Only the passages around shared hashes go on (``passages``), with their bytes.
    A run of suffixes under one hash, with its bytes, is a context; a context that a
-   smaller document has as well is covered as a whole.
-3. The suffixes of all other contexts are dealt by content into blocks.  Each
+   smaller document has as well is covered as a whole, and a context that is the only
+   one of its hash has nothing to lose.
+3. The suffixes of the contexts between are dealt by content into blocks.  Each
    block sorts them (suffix order), takes the common prefix of neighbours, and
    finds for each the previous and next suffix of a smaller document; the
    longer common prefix is its longest previous factor.  At 50 bytes or more the
@@ -97,7 +98,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, piece: int) -> tupl
     return np.searchsorted(offsets, begin, "right") - 1, begin, size, value[first]
 
 
-def _send(found: dict, key: np.ndarray, uid: np.ndarray, n: int) -> Iterator[dict]:
+def _send(key: np.ndarray, uid: np.ndarray, n: int) -> Iterator[dict]:
     """Step 1, one batch: each key once with its text, or marked as shared (id 0)."""
     order = np.lexsort((uid, key))
     key, uid = key[order], uid[order]
@@ -128,19 +129,15 @@ def _ask_shared(n: int, length: int, piece: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
-            for i, j in X_slices(offsets):
+            for i, j in row_slices(offsets, SLICE):
                 part = data[offsets[i] : offsets[j]]
                 row, _, _, value = runs(part, offsets[i : j + 1] - offsets[i], length, piece)
                 if len(row):
-                    yield X.blobs(list(_send({}, value & KEY48, uid[i:j][row], n)), MAPPED_PA)
+                    yield X.blobs(list(_send(value & KEY48, uid[i:j][row], n)), MAPPED_PA)
 
     return run
 
 
-def X_slices(offsets: np.ndarray):
-    return row_slices(offsets, SLICE)
-
-
 def _answer_shared(n: int):
     """A key that two texts have goes back to all of them."""
 
@@ -177,7 +174,7 @@ def _passages(length: int, piece: int):
         out = []
         data, offsets = utf8(docs["text"])
         uid, rank, b2 = (docs[c].to_numpy() for c in ("uid", "rank", "b2"))
-        for i, j in X_slices(offsets):
+        for i, j in row_slices(offsets, SLICE):
             own = offsets[i : j + 1] - offsets[i]
             part = data[offsets[i] : offsets[j]]
             row, start, size, value = runs(part, own, length, piece)
@@ -202,38 +199,61 @@ def _passages(length: int, piece: int):
 def _contexts(data, offsets, length, piece):
     row, start, size, value = runs(data, offsets, length, piece)
     if not len(row):
-        return row, start, size, value
-    return row, start, size, mix(value ^ span_hashes(data, start, start + size + length - 1))
+        return row, start, size, value, value
+    return row, start, size, value, mix(value ^ span_hashes(data, start, start + size + length - 1))
+
+
+def _mixed_key(value: np.ndarray) -> np.ndarray:
+    """Key of the question whether a smallest hash has more than one context."""
+    return mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
 def _ask_contexts(n: int, length: int, piece: int):
-    """Step 2: each context once for a batch, with the smallest document."""
+    """Step 2: each context once for a batch, with the smallest document (kind 0), and
+    each smallest hash once, with that context or marked as mixed (kind 2)."""
+
+    def ask(row, value, key, uid, rank) -> Iterator[dict]:
+        u, r, v = uid[row], rank[row], _mixed_key(value)
+        order = np.lexsort((r, key))
+        key, u, r, v = key[order], u[order], r[order], v[order]
+        edge = X.group_edges(key)
+        size = np.diff(np.append(edge, len(key)))
+        later = r > np.repeat(r[edge], size)
+        for b, ks, us in X.split_by(X.row_buckets(u, n)[later], key[later], u[later]):
+            yield {"bucket": b, "kind": 1, "ids": us.tobytes(), "keys": ks.tobytes()}
+        key, u, r, v = key[~later], u[~later], r[~later], v[~later]
+        for b, ks, us, rs in X.split_by((key % np.uint64(n)).astype(np.int64), key, u, r):
+            yield {"bucket": b, "kind": 0, "ids": np.stack((us, rs), 1).tobytes(), "keys": ks.tobytes()}
+        order = np.lexsort((u, key, v))
+        key, u, v = key[order], u[order], v[order]
+        edge = X.group_edges(v)
+        size = np.diff(np.append(edge, len(v)))
+        mixed = np.minimum.reduceat(key, edge) != np.maximum.reduceat(key, edge)
+        told = np.repeat(mixed, size)
+        for b, vs, us in X.split_by(X.row_buckets(u, n)[told], v[told], u[told]):
+            yield {"bucket": b, "kind": 1, "ids": us.tobytes(), "keys": vs.tobytes()}
+        # One document of the smallest rank stands for the batch; more of equal rank go too.
+        sent = ~told
+        sent[edge[mixed]] = True
+        c = np.where(told, np.uint64(0), key)[sent]
+        for b, vs, us, cs in X.split_by((v[sent] % np.uint64(n)).astype(np.int64), v[sent], u[sent].view(np.uint64), c):
+            yield {"bucket": b, "kind": 2, "ids": np.stack((us, cs), 1).tobytes(), "keys": vs.tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("bytes"))
             uid, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "rank"))
-            for i, j in X_slices(offsets):
-                row, _, _, key = _contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, piece)
-                if not len(row):
-                    continue
-                u, r = uid[i:j][row], rank[i:j][row]
-                order = np.lexsort((r, key))
-                key, u, r = key[order], u[order], r[order]
-                edge = X.group_edges(key)
-                least = np.repeat(r[edge], np.diff(np.append(edge, len(key))))
-                out = [{"bucket": b, "kind": 1, "ids": us.tobytes(), "keys": ks.tobytes()} for b, ks, us in X.split_by(X.row_buckets(u, n)[r > least], key[r > least], u[r > least])]
-                keep = r == least
-                key, u, r = key[keep], u[keep], r[keep]
-                for b, ks, us, rs in X.split_by((key % np.uint64(n)).astype(np.int64), key, u, r):
-                    out.append({"bucket": b, "kind": 0, "ids": np.stack((us, rs), 1).tobytes(), "keys": ks.tobytes()})
-                yield X.blobs(out, MAPPED_PA)
+            for i, j in row_slices(offsets, SLICE):
+                row, _, _, value, key = _contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, piece)
+                if len(row):
+                    yield X.blobs(list(ask(row, value, key, uid[i:j], rank[i:j])), MAPPED_PA)
 
     return run
 
 
 def _answer_contexts(n: int):
-    """A context goes back to every document that isn't the first to have it."""
+    """A context goes back to every document that isn't the first to have it, and a mixed
+    hash to every document that asked about it."""
 
     def run(table: pa.Table) -> pa.Table:
         out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pa.compute.equal(table["kind"], 1)).to_pylist()]
@@ -244,10 +264,20 @@ def _answer_contexts(n: int):
             order = np.lexsort((r, key))
             key, u, r = key[order], u[order], r[order]
             edge = X.group_edges(key)
-            least = np.repeat(r[edge], np.diff(np.append(edge, len(key))))
-            later = r > least
+            later = r > np.repeat(r[edge], np.diff(np.append(edge, len(key))))
             for b, k, us in X.split_by(X.row_buckets(u[later], n), key[later], u[later]):
                 out.append({"b2": b, "ids": us.tobytes(), "keys": k.tobytes()})
+        asked = table.filter(pa.compute.equal(table["kind"], 2))
+        if len(asked):
+            v = np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64)
+            u, c = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.uint64).reshape(-1, 2).T
+            order = np.argsort(v, kind="stable")
+            v, u, c = v[order], u[order].view(np.int64), c[order]
+            edge = X.group_edges(v)
+            mixed = np.minimum.reduceat(c, edge) != np.maximum.reduceat(c, edge)
+            told = np.repeat(mixed | (np.minimum.reduceat(c, edge) == 0), np.diff(np.append(edge, len(v)))) & (c != 0)
+            for b, k, us in X.split_by(X.row_buckets(u[told], n), v[told], u[told]):
+                out.append({"b2": b, "ids": us.tobytes(), "keys": k.tobytes()})
         return pa.Table.from_pylist(out, schema=REPLY_PA)
 
     return run
@@ -271,10 +301,10 @@ def _suffixes(n: int, length: int, piece: int):
         pair = np.unique(mix(ids.view(np.uint64)) ^ keys) if len(ids) else np.zeros(1, np.uint64)
         data, offsets = utf8(passages["bytes"])
         uid, rank, at = (passages[c].to_numpy() for c in ("uid", "rank", "start"))
-        for i, j in X_slices(offsets):
+        for i, j in row_slices(offsets, SLICE):
             own = offsets[i : j + 1] - offsets[i]
             part = data[offsets[i] : offsets[j]]
-            row, start, size, key = _contexts(part, own, length, piece)
+            row, start, size, value, key = _contexts(part, own, length, piece)
             if not len(row):
                 continue
             u, r, shift = uid[i:j][row], rank[i:j][row], at[i:j][row] - own[row]
@@ -282,7 +312,10 @@ def _suffixes(n: int, length: int, piece: int):
             hit = pair[np.minimum(np.searchsorted(pair, probe), len(pair) - 1)] == probe
             for b, us, ss, ls in X.split_by(X.row_buckets(u[hit], n), u[hit], (start + shift)[hit], (size + length - 1)[hit]):
                 out.append({"bucket": b, "kind": 1, "ids": us.tobytes(), "spans": np.stack((ss, ls), 1).tobytes()})
-            row, start, size, u, r, shift = (x[~hit] for x in (row, start, size, u, r, shift))
+            # A context that is the only one of its hash holds no string of another.
+            probe = mix(u.view(np.uint64)) ^ _mixed_key(value)
+            left = ~hit & (pair[np.minimum(np.searchsorted(pair, probe), len(pair) - 1)] == probe)
+            row, start, size, u, r, shift = (x[left] for x in (row, start, size, u, r, shift))
             begin = ranges(start, size)
             u, r, shift = np.repeat(u, size), np.repeat(r, size), np.repeat(shift, size)
             if not len(begin):
