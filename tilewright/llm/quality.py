@@ -104,5 +104,10 @@ def score_quality(df: DataFrame, text_col: str = "text", limits=LIMITS) -> DataF
 
 
 def filter_quality(df: DataFrame, text_col: str = "text", limits=LIMITS) -> DataFrame:
-    """The rows of ``df`` that pass, with its columns."""
-    return score_quality(df, text_col, limits).where("kept").select("row.*")
+    """The rows of ``df`` that pass, with its columns.
+
+    A row that passes is put into an array and taken out again: a filter would be pushed
+    below the projections and put every measure inside the lambdas that use it.
+    """
+    scored = score_quality(df, text_col, limits)
+    return scored.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.llm.html_extract import extract_pages
+from tilewright.llm.langid import identify
+from tilewright.llm.lm import score_documents
 from tilewright.llm.mixing import taken_words
-from tilewright.llm.packing import pack_documents
 from tilewright.llm.media import store_media
+from tilewright.llm.packing import pack_documents
 from tilewright.llm.quality import LIMITS, STOP_WORDS, score_quality
 from tilewright.llm.simhash import near_duplicates
 from tilewright.llm.suffix_dedup import remove_repeats
@@ -32,11 +35,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.selectExpr("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(_table(spark, sf_dir, "documents"))
 
@@ -132,7 +147,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mixing": op3_mixing,
+        "op4_langid": op4_langid,
         "op6_quality": op6_quality,
+        "op7_html_extract": op7_html_extract,
+        "op8_lm_score": op8_lm_score,
         "op9_media": op9_media,
         "op10_packing": op10_packing,
     }
