@@ -11,11 +11,11 @@ found first, then ordered:
    A run of suffixes under one hash, with its bytes, is a context; a context that a
    smaller document has as well is covered as a whole, and a context that is the only
    one of its hash has nothing to lose.
-3. The suffixes of the contexts between are dealt by content into blocks.  Each
-   block sorts them (suffix order), takes the common prefix of neighbours, and
-   finds for each the previous and next suffix of a smaller document; the
-   longer common prefix is its longest previous factor.  At 50 bytes or more the
-   string goes.
+3. The contexts left are dealt by hash into blocks (those of a crowded hash as single
+   suffixes by content).  Each block sorts their suffixes (suffix order), takes the
+   common prefix of neighbours, and finds for each the previous and next suffix of a
+   smaller document; the longer common prefix is its longest previous factor.  At 50
+   bytes or more the string goes.
 
 Exact copies of a text are recognised before step 1 and removed as a whole.
 Null texts count as empty.  Rows of equal doc_id never remove from one another; null
@@ -41,6 +41,9 @@ LENGTH = 50
 PIECE = 20
 SLICE = 3 << 20
 KEY48 = np.uint64((1 << 48) - 1)
+MARKS = 1 << 20
+#: Contexts under one hash from which its suffixes are dealt one by one.
+HOT = 20_000
 
 MAPPED = "bucket long, kind int, ids binary, keys binary"
 MAPPED_PA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary())])
@@ -235,7 +238,8 @@ def _ask_contexts(n: int, length: int, piece: int):
         # One document of the smallest rank stands for the batch; more of equal rank go too.
         sent = ~told
         sent[edge[mixed]] = True
-        c = np.where(told, np.uint64(0), key)[sent]
+        # A mark carries the number of contexts; context keys are hashes, far above MARKS.
+        c = np.where(told, np.minimum(np.repeat(size, size), MARKS - 1).astype(np.uint64), key)[sent]
         for b, vs, us, cs in X.split_by((v[sent] % np.uint64(n)).astype(np.int64), v[sent], u[sent].view(np.uint64), c):
             yield {"bucket": b, "kind": 2, "ids": np.stack((us, cs), 1).tobytes(), "keys": vs.tobytes()}
 
@@ -251,9 +255,9 @@ def _ask_contexts(n: int, length: int, piece: int):
     return run
 
 
-def _answer_contexts(n: int):
+def _answer_contexts(n: int, hot: int):
     """A context goes back to every document that isn't the first to have it, and a mixed
-    hash to every document that asked about it."""
+    hash to every document that asked about it; hashes with ``hot`` contexts are named."""
 
     def run(table: pa.Table) -> pa.Table:
         out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pa.compute.equal(table["kind"], 1)).to_pylist()]
@@ -275,7 +279,11 @@ def _answer_contexts(n: int):
             v, u, c = v[order], u[order].view(np.int64), c[order]
             edge = X.group_edges(v)
             mixed = np.minimum.reduceat(c, edge) != np.maximum.reduceat(c, edge)
-            told = np.repeat(mixed | (np.minimum.reduceat(c, edge) == 0), np.diff(np.append(edge, len(v)))) & (c != 0)
+            mark = c < MARKS
+            told = np.repeat(mixed | np.logical_or.reduceat(mark, edge), np.diff(np.append(edge, len(v)))) & ~mark
+            crowd = v[edge][np.add.reduceat(np.where(mark, c, 1).astype(np.int64), edge) >= hot]
+            if len(crowd):
+                out.append({"b2": -1, "ids": b"", "keys": crowd.tobytes()})
             for b, k, us in X.split_by(X.row_buckets(u[told], n), v[told], u[told]):
                 out.append({"b2": b, "ids": us.tobytes(), "keys": k.tobytes()})
         return pa.Table.from_pylist(out, schema=REPLY_PA)
@@ -289,8 +297,12 @@ SPANS = "b2 long, ids binary, spans binary"
 SPANS_PA = pa.schema([("b2", pa.int64()), ("ids", pa.binary()), ("spans", pa.binary())])
 
 
-def _suffixes(n: int, length: int, piece: int):
-    """Spans that step 2 settled (kind 1), and the suffixes it left (kind 0)."""
+def _suffixes(n: int, length: int, piece: int, crowded: np.ndarray):
+    """Spans that step 2 settled (kind 1), and the contexts it left (kind 0).
+
+    Contexts of one hash meet in one block; those of a crowded hash go as single suffixes,
+    by content, each once for a batch.
+    """
 
     def run(passages: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
@@ -316,6 +328,11 @@ def _suffixes(n: int, length: int, piece: int):
             probe = mix(u.view(np.uint64)) ^ _mixed_key(value)
             left = ~hit & (pair[np.minimum(np.searchsorted(pair, probe), len(pair) - 1)] == probe)
             row, start, size, u, r, shift = (x[left] for x in (row, start, size, u, r, shift))
+            home = _mixed_key(value[left])
+            many = np.isin(home, crowded)
+            for b, us, rs, bs, ss, zs in X.split_by((home % np.uint64(n)).astype(np.int64)[~many], u[~many], r[~many], start[~many], shift[~many], size[~many]):
+                out.append({"bucket": b, "kind": 0, "ids": np.stack((us, rs), 1).tobytes(), "spans": np.stack((bs + ss, zs), 1).tobytes(), "suffixes": part[ranges(bs, zs + length - 1)].tobytes()})
+            row, start, size, u, r, shift = (x[many] for x in (row, start, size, u, r, shift))
             begin = ranges(start, size)
             u, r, shift = np.repeat(u, size), np.repeat(r, size), np.repeat(shift, size)
             if not len(begin):
@@ -330,7 +347,7 @@ def _suffixes(n: int, length: int, piece: int):
             h, begin, u, r, shift = (x[~later] for x in (h, begin, u, r, shift))
             grams = np.lib.stride_tricks.sliding_window_view(part, length)
             for b, us, rs, bs, ss in X.split_by((h % np.uint64(n)).astype(np.int64), u, r, begin, begin + shift):
-                out.append({"bucket": b, "kind": 0, "ids": np.stack((us, rs), 1).tobytes(), "spans": ss.tobytes(), "suffixes": grams[bs].tobytes()})
+                out.append({"bucket": b, "kind": 0, "ids": np.stack((us, rs), 1).tobytes(), "spans": np.stack((ss, np.ones_like(ss)), 1).tobytes(), "suffixes": grams[bs].tobytes()})
         return pa.Table.from_pylist(out, schema=SUFFIX_PA)
 
     return run
@@ -367,8 +384,12 @@ def _match(n: int, length: int):
         asked = table.filter(pa.compute.equal(table["kind"], 0))
         if len(asked):
             u, r = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.int64).reshape(-1, 2).T
-            s = np.frombuffer(b"".join(asked["spans"].to_pylist()), np.int64)
-            rows = np.frombuffer(b"".join(asked["suffixes"].to_pylist()), np.uint8).reshape(-1, length)
+            s, size = np.frombuffer(b"".join(asked["spans"].to_pylist()), np.int64).reshape(-1, 2).T
+            data = np.frombuffer(b"".join(asked["suffixes"].to_pylist()), np.uint8)
+            grown = size + length - 1
+            begin = ranges(np.cumsum(grown) - grown, size)
+            s, u, r = ranges(s, size), np.repeat(u, size), np.repeat(r, size)
+            rows = np.lib.stride_tricks.sliding_window_view(data, length)[begin]
             gone = previous_factors(rows, r) >= length
             for b, us, ss in X.split_by(X.row_buckets(u[gone], n), u[gone], s[gone]):
                 out.append({"b2": b, "ids": us.tobytes(), "spans": np.stack((ss, np.full(len(ss), length)), 1).tobytes()})
@@ -438,7 +459,7 @@ def _apply(names: list[str], schema: pa.Schema, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, piece: int = PIECE, keep_text: bool = False, hot: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     With ``keep_text`` also ``kept``, the remaining text (bytes of a character cut in
@@ -447,6 +468,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql.pandas.types import to_arrow_schema
 
     n = X.bucket_count(docs, text_col)
+    hot = hot or max(HOT, n * X.BUCKET_BYTES // 2_000_000)
     kept_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep_text else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(int(X.LAST))).cast("long").alias("rank"), F.col(text_col).alias("text"), *kept_row)
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -462,8 +484,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows.select("b2", "uid", "rank", "text").groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages"
     )
     discard(shared)
-    known = materialize(passages.mapInArrow(_ask_contexts(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_contexts(n), REPLY), "contexts")
-    suffixes = passages.groupBy("b2").cogroup(known.groupBy("b2")).applyInArrow(_suffixes(n, length, piece), SUFFIX)
+    known = materialize(passages.mapInArrow(_ask_contexts(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_contexts(n, hot), REPLY), "contexts")
+    # Their number is bound: every one has ``hot`` of at most total / 16 contexts.
+    crowded = np.array([k for row in known.where("b2 = -1").collect() for k in np.frombuffer(row["keys"], np.uint64)], np.uint64)
+    known = known.where("b2 >= 0")
+    suffixes = passages.groupBy("b2").cogroup(known.groupBy("b2")).applyInArrow(_suffixes(n, length, piece, crowded), SUFFIX)
     spans = materialize(suffixes.groupBy("bucket").applyInArrow(_match(n, length), SPANS).unionByName(copies.mapInArrow(_whole(n), SPANS)), "spans")
     discard(passages)
     discard(known)
