@@ -1 +1,6 @@
-"""Plans."""
+"""Queries by theme; importing this package fills the catalogue."""
+
+from tilewright.plans import tiling  # noqa: F401
+from tilewright.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
