@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files every executor can read, so losing an executor
-    never recomputes or loses an earlier step.
+    never recomputes or loses an earlier step.  ``large``: the step's shuffle files are worth
+    waiting for their removal.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    if large:
+        del df
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -45,9 +49,15 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of steps that are over.
+
+    Spark removes them once the driver's JVM has collected the plans that own them, and those
+    go when Python has let go of them; a second round takes what the first one freed.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

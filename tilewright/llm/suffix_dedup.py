@@ -479,12 +479,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = base.withColumn("b2", X.row_bucket_column("uid", n))
 
     alone = rows.where(F.octet_length("text") >= length).join(copies.select("uid"), "uid", "left_anti").select("uid", "text")
-    shared = materialize(alone.mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared")
+    shared = materialize(alone.mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared", large=True)
     passages = materialize(
-        rows.select("b2", "uid", "rank", "text").groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages"
+        rows.select("b2", "uid", "rank", "text").groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages", large=True
     )
     discard(shared)
-    known = materialize(passages.mapInArrow(_ask_contexts(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_contexts(n, hot), REPLY), "contexts")
+    known = materialize(passages.mapInArrow(_ask_contexts(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_contexts(n, hot), REPLY), "contexts", large=True)
     # Their number is bound: every one has ``hot`` of at most total / 16 contexts.
     crowded = np.array([k for row in known.where("b2 = -1").collect() for k in np.frombuffer(row["keys"], np.uint64)], np.uint64)
     known = known.where("b2 >= 0")
