@@ -97,9 +97,9 @@ def items_filter_exact(spark, sf_dir):
     return _listed(spark, sf_dir, 'brand:"Brand#13"')
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#2') AND NOT (contains(lower(p_type), 'steel') OR contains(lower(p_type), 'brass'))")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#2') AND NOT (contains(lower(p_type), 'econ') OR contains(lower(p_type), 'small'))")
 def items_filter_negation(spark, sf_dir):
-    return _listed(spark, sf_dir, "brand:#2 type:-steel type:-brass")
+    return _listed(spark, sf_dir, "brand:#2 type:-econ type:-small")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(p_size::VARCHAR, '40') OR (p_size >= 40 AND p_size < 50)")
@@ -107,9 +107,9 @@ def items_filter_number(spark, sf_dir):
     return _listed(spark, sf_dir, "size:40")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), '7') AND (contains(lower(p_brand), '#1') OR contains(lower(p_brand), '#3'))")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'bolt') AND (contains(lower(p_brand), '#1') OR contains(lower(p_brand), '#3'))")
 def items_filter_or(spark, sf_dir):
-    return _listed(spark, sf_dir, "name:7 brand:#1,#3")
+    return _listed(spark, sf_dir, "name:bolt brand:#1,#3")
 
 
 @query("SELECT event_id FROM events WHERE contains(lower(json_extract_string(props, '$.k')), '7') AND contains(lower(event_type), 'c')")
@@ -186,12 +186,12 @@ def item_name_resolve(spark, sf_dir):
     return keys.join(names, "key", "left").groupBy("qid", "text").agg(F.min("item").alias("item"))
 
 
-@query(V.with_views("history", "item") + "SELECT DISTINCT annotation FROM history h WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.item = h.annotation * 3) AND updated < (SELECT max(updated) FROM history) - INTERVAL 1 DAY")
+@query(V.with_views("history", "item") + "SELECT DISTINCT annotation FROM history h WHERE NOT EXISTS (SELECT 1 FROM item i WHERE i.item = h.annotation * 20) AND updated < (SELECT max(updated) FROM history) - INTERVAL 1 DAY")
 def old_annotations_orphaned(spark, sf_dir):
     """Annotations whose item is gone and that are old."""
     h = V.history(spark, sf_dir)
     cut = h.agg((F.max("updated") - F.expr("INTERVAL 1 DAY")).alias("cut"))
-    old = h.crossJoin(F.broadcast(cut)).where("updated < cut").withColumn("item", F.col("annotation") * 3)
+    old = h.crossJoin(F.broadcast(cut)).where("updated < cut").withColumn("item", F.col("annotation") * 20)
     return old.join(V.item(spark, sf_dir).select("item"), "item", "left_anti").select("annotation").distinct()
 
 
