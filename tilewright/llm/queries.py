@@ -14,6 +14,7 @@ from tilewright.llm.media import store_media
 from tilewright.llm.packing import pack_documents
 from tilewright.llm.quality import LIMITS, STOP_WORDS, score_quality
 from tilewright.llm.simhash import near_duplicates
+from tilewright.llm.substring import near_passages
 from tilewright.llm.suffix_dedup import remove_repeats
 from tilewright.session import ship
 
@@ -39,6 +40,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.selectExpr("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -148,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mixing": op3_mixing,
         "op4_langid": op4_langid,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_quality": op6_quality,
         "op7_html_extract": op7_html_extract,
         "op8_lm_score": op8_lm_score,
