@@ -49,6 +49,8 @@ NAMES = frozenset(
 MAIN_NAMES = frozenset("article post content main story entry body".split())
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
+#: A tag that the page's end cuts off.
+CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 SIGMA = 1.0
 
 
@@ -184,7 +186,7 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
     parser = _Lines()
-    parser.feed(html or "")
+    parser.feed(CUT_TAG.sub("", html or ""))
     parser.close()
     parser._flush()
     lines = [x for x in parser.lines if not x[3]]

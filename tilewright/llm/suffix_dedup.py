@@ -26,12 +26,16 @@ empty table gives an empty result.  Other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tilewright.llm import exchange as X
 from tilewright.llm.storage import discard, materialize, release
@@ -427,9 +431,6 @@ def merge_spans(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return owner[first], start[first], reach[last]
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, row binary, kept binary"
-
-
 def _apply(names: list[str], schema: pa.Schema, keep_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         if not len(docs):
@@ -454,7 +455,7 @@ def _apply(names: list[str], schema: pa.Schema, keep_text: bool):
             if keep_text:
                 kept.append(left.decode("utf-8", "ignore"))
         out = {"n_bytes": n_bytes, "n_removed": removed, "n_spans": n_spans, "kept_sha256": sha} | ({"kept": kept} if keep_text else {})
-        return pa.table([docs[c] if c in names else pa.array(out[c], schema.field(c).type) for c in schema.names], schema=schema)
+        return pa.table([docs[c].cast(schema.field(c).type) if c in names else pa.array(out[c], schema.field(c).type) for c in schema.names], schema=schema)
 
     return run
 
@@ -465,8 +466,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     With ``keep_text`` also ``kept``, the remaining text (bytes of a character cut in
     two are left out), and ``row``, the row's other columns as a struct.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     n = X.bucket_count(docs, text_col)
     hot = hot or max(HOT, n * X.BUCKET_BYTES // 2_000_000)
     kept_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep_text else []
@@ -496,8 +495,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["row", "kept"] if keep_text else [])
     source = rows.select("b2", "doc_id", "uid", "text", *(["row"] if keep_text else []))
     types = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
-    spec = ", ".join(f"{c} {types.get(c) or source.schema[c].dataType.simpleString()}" for c in fields)
-    from pyspark.sql.types import StructType
-
     result = StructType([source.schema[c] if c in source.columns else StructType.fromDDL(f"{c} {types[c]}")[0] for c in fields])
-    return source.groupBy("b2").cogroup(spans.groupBy("b2")).applyInArrow(_apply(source.columns, to_arrow_schema(result), keep_text), spec)
+    # What comes back from Python may be null anywhere.
+    result = StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)"):false', r"\1:true", result.json())))
+    return source.groupBy("b2").cogroup(spans.groupBy("b2")).applyInArrow(_apply(source.columns, to_arrow_schema(result), keep_text), result)
