@@ -473,7 +473,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     base = base.withColumn("uid", F.xxhash64("rank", F.coalesce("text", F.lit(""))))
     ids = materialize(base.select("rank", "uid", sha.alias("sha"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "ids")
-    first = ids.groupBy("sha").agg(F.min("rank").alias("first"))
+    # Written before it is joined: Spark then splits a text that much of all rows copy.
+    first = materialize(ids.groupBy("sha").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
     copies = materialize(ids.join(first, "sha").where((F.col("rank") > F.col("first")) & (F.col("n_bytes") >= length)).select("uid", "n_bytes").distinct(), "copies")
     rows = base.withColumn("b2", X.row_bucket_column("uid", n))
 
