@@ -58,3 +58,13 @@ def connect(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def smallest_of_component(roots: DataFrame, values: DataFrame, node: str, value: str) -> DataFrame:
+    """node, least: for each linked node the smallest value in its component, from the roots that
+    connect() gives and a table (node, value).  The table of roots is written before it is joined, so
+    that Spark can split a component that holds much of all rows."""
+    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = materialize(linked.join(values.select(F.col(node).alias("node"), F.col(value).alias("value")), "node"), "members")
+    least = materialize(members.groupBy("root").agg(F.min("value").alias("least")), "least")
+    return members.join(least, "root").select("node", "least")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm import exchange as X
-from tilewright.llm.components import connect, forest
+from tilewright.llm.components import connect, forest, smallest_of_component
 from tilewright.llm.storage import materialize
 from tilewright.llm.vectors import LOWER, mix, ranges
 
@@ -322,9 +322,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_buckets = max(48, plan.n // 50_000 + 1)
     links = nodes.select("fp").mapInArrow(_deal(plan, n_buckets), MAPPED).groupBy("bucket").applyInArrow(_link(distance), LINKS)
     roots = connect(links)  # node, root of every linked node
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = materialize(named.join(least, "root").select(F.col("fp").alias("node"), "component_id"), "component")
+    least = smallest_of_component(roots, nodes, "fp", "first")
+    component = nodes.join(least, nodes.fp == least.node, "left").select(F.col("fp").alias("node"), F.coalesce("least", "first").alias("component_id"))
+    component = materialize(component, "component")
     out = prints.join(component, prints.fp == component.node, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
