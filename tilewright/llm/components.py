@@ -42,14 +42,16 @@ def connect(links: DataFrame) -> DataFrame:
     now = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(ROUNDS):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Minima are written before they are joined: Spark then splits the links of a hub.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
-        # Links of nodes without larger neighbours keep their way down.
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large.distinct(), "large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
         after = materialize(small, "links")
+        for done in (least, large, low):
+            discard(done)
         same = now.join(after, ["a", "b"], "left_anti").limit(1).count() == 0 and after.join(now, ["a", "b"], "left_anti").limit(1).count() == 0
         discard(now)
         now = after
