@@ -100,14 +100,13 @@ def score_quality(df: DataFrame, text_col: str = "text", limits=LIMITS) -> DataF
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     counted = with_parts(df, text_col).withColumns(base_columns())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.select("row", *base_columns(), failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(verdict(limits)).alias("kept"))
+    kept = F.when(failed, F.lit(False)).otherwise(verdict(limits))
+    # Each row goes through an array of one: a later filter would otherwise be pushed below the
+    # projections, with every measure copied into the lambdas that use it.
+    scored = F.struct("row", *base_columns(), failed.alias("base_failed"), kept.alias("kept"))
+    return counted.select(F.explode(F.array(scored)).alias("scored")).select("scored.*")
 
 
 def filter_quality(df: DataFrame, text_col: str = "text", limits=LIMITS) -> DataFrame:
-    """The rows of ``df`` that pass, with its columns.
-
-    A row that passes is put into an array and taken out again: a filter would be pushed
-    below the projections and put every measure inside the lambdas that use it.
-    """
-    scored = score_quality(df, text_col, limits)
-    return scored.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    """The rows of ``df`` that pass, with its columns."""
+    return score_quality(df, text_col, limits).where("kept").select("row.*")
