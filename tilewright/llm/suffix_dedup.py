@@ -43,7 +43,7 @@ from tilewright.llm.vectors import BASE, BYTE_VALUES, mix, nearest_smaller, rang
 
 LENGTH = 50
 PIECE = 20
-SLICE = 3 << 20
+SLICE = 3 << 19
 KEY48 = np.uint64((1 << 48) - 1)
 MARKS = 1 << 20
 #: Contexts under one hash from which its suffixes are dealt one by one.
