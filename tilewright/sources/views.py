@@ -32,8 +32,10 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """band, x, y, value: the first 498 vectors as a three-band raster, 13 tiles across."""
-    p = _pixels(spark, sf_dir).where("vec_id < 498")
+    """band, x, y, value: the vectors, three to a tile, as a three-band raster, 13 tiles across.
+    One or two vectors at the end that make no whole tile are left out."""
+    whole = table(spark, sf_dir, "embeddings").agg((F.expr("count(*) div 3") * 3).alias("whole"))
+    p = _pixels(spark, sf_dir).join(F.broadcast(whole), F.col("vec_id") < F.col("whole"))
     x = (F.expr("vec_id div 3") % ACROSS3) * TILE + F.col("d") % TILE
     y = F.expr(f"(vec_id div 3) div {ACROSS3}") * TILE + F.expr(f"d div {TILE}")
     return p.select((F.col("vec_id") % 3).alias("band"), x.alias("x"), y.alias("y"), "value")
