@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tilewright.plans import QUERIES
 from tilewright.sources import views as V
 
 
@@ -21,3 +22,13 @@ def test_three_bands_hold_all_whole_tiles(spark, vectors):
     got = {(r.band, r.x, r.y): r.value for r in V.mosaic3(spark, folder).collect()}
     want = {(k % 3, k // 3 % 13 * 8 + d % 8, k // 3 // 13 * 8 + d // 8): values[k, d] for k in range(600) for d in range(64)}
     assert got == want
+
+
+def test_median_filter_of_the_whole_raster(spark, vectors):
+    folder, values = vectors
+    raster = {(k % 25 * 8 + d % 8, k // 25 * 8 + d // 8): values[k, d] for k in range(602) for d in range(64)}
+    got = {(r.x, r.y): r.value for r in QUERIES["median_filter"](spark, folder).collect()}
+    assert got.keys() == raster.keys()
+    for (x, y), v in raster.items():
+        m = np.median([raster[x + i, y + j] for i in range(-2, 3) for j in range(-2, 3) if (x + i, y + j) in raster])
+        assert got[x, y] == min(255.0, max(0.0, v + (v - m)))

@@ -235,7 +235,7 @@ def pixelmap_encode(spark, sf_dir):
 @query(M + """, s AS (SELECT m.x + dx AS x, m.y + dy AS y, value, CASE WHEN dx = 0 AND dy = 0 THEN value END AS own FROM mosaic m, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE m.x < 100 AND m.y < 80)
   SELECT x, y, greatest(0.0::DOUBLE, least(255.0::DOUBLE, max(own) + (max(own) - median(value)) * 1.0::DOUBLE)) AS value FROM s GROUP BY x, y HAVING max(own) IS NOT NULL""")
 def median_filter(spark, sf_dir):
-    return R.median_filter(V.mosaic(spark, sf_dir).where("x < 100 AND y < 80"))
+    return R.median_filter(V.mosaic(spark, sf_dir))
 
 
 _HSI = _W3 + """, c AS (SELECT x, y, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM w), h AS (SELECT x, y, atan2(sqrt(3.0::DOUBLE) * (g - b), 2 * r - g - b) / (2 * pi()) AS h0, (r + g + b) / 3 AS i, least(r, g, b) AS lo FROM c),
