@@ -382,40 +382,6 @@ def test_lm_scores(docs, rows):
     assert all(r.score < 0 and np.isfinite(r.score) for r in got)
 
 
-def tree_of(texts, **options):
-    from tilewright.llm.vectors import LOWER, utf8, word_spans
-
-    import pyarrow as pa
-
-    data, offsets = utf8(pa.array(texts))
-    data = LOWER[data]
-    stream, cls, so = lm.symbols(data, offsets, word_spans(data, offsets))
-    return lm.SuffixTree(lm.gram_counts(cls, so), np.bincount(stream, minlength=256), **options), (stream, cls, so)
-
-
-def test_lm_states_are_longest_suffixes_and_sum_to_one():
-    rng = np.random.default_rng(6)
-    texts = [prose(rng, 80) for _ in range(30)] + ["", " "]
-    tree, (stream, cls, so) = tree_of(texts, divergence=2.0)
-    assert np.allclose((10.0 ** tree.log.astype(float)).sum(1), 1, atol=1e-4)
-    got = tree.score(stream, cls, so)
-    for k in range(len(texts)):
-        state, total = tree.start, 0.0
-        for t in range(so[k], so[k + 1]):
-            total += tree.log[state, cls[t]] + tree.share[stream[t]]
-            state = tree.next[state, cls[t]]
-        assert got[k] == pytest.approx(total, rel=1e-5)
-    assert got[-1] == got[-2]
-
-
-def test_lm_model_beats_a_flat_one():
-    rng = np.random.default_rng(9)
-    texts = [prose(rng, 120) for _ in range(60)]
-    deep, parts = tree_of(texts, divergence=2.0)
-    flat, _ = tree_of(texts, divergence=1e18)
-    assert deep.size > flat.size and deep.score(*parts).sum() > 1.2 * flat.score(*parts).sum() * (1 / 1.2) + abs(flat.score(*parts).sum()) * 0.1
-
-
 # 9. Media
 
 

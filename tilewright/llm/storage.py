@@ -11,15 +11,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The shared folder of the cluster.
+
+    Only a local session (one machine, one process) that names none gets a temporary folder of its own;
+    on a cluster that would be a folder the executors can't see, so there the setting is asked for.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tilewright-")
+    return _own[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
