@@ -57,3 +57,12 @@ def row_bucket_column(uid: str, n: int):
 
 def blobs(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def once(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` with one row for each uid; ``again`` holds the uids that stand in several rows.
+    Only those are aggregated (with map-side combine), so that one row repeated many times
+    doesn't meet in a task."""
+    repeated = rows.join(again, "uid", "left_semi")
+    others = [F.first(c).alias(c) for c in rows.columns if c != "uid"]
+    return rows.join(again, "uid", "left_anti").unionByName(repeated.groupBy("uid").agg(*others).select(*rows.columns))
