@@ -232,6 +232,59 @@ def test_mixed_documents_have_the_words_taken(docs):
     assert {r.source: r.n for r in words.collect()} == {r.source: r.n for r in taken.collect() if r.n}
 
 
+def test_mixing_inclusion_follows_the_probabilities(spark, monkeypatch):
+    """Over many seeds documents are sampled about as often as p says, and without the division they are not."""
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(["w"] * int(n)), "ab"[k % 2]) for k, n in enumerate(rng.choice([2, 1500], 140))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    hits, p, rounds = Counter(), {}, 16
+    base = docs.select("doc_id", "source", F.size(quality.words_of(F.col("text"))).cast("long").alias("size"))
+    for seed in range(rounds):
+        for r in mixing._take(base, (3.0, 2.0), 3.0, f"s{seed}").collect():
+            p[r.doc_id] = r.p
+            hits[r.doc_id] += r.taken > r.copies * r["size"]
+    kinds = {}
+    for k, _, source in rows:
+        kinds.setdefault((source, round(p[k], 9)), []).append(hits[k] / rounds)
+    assert len(kinds) == 4
+    for source in "ab":
+        (low, a), (high, b) = sorted((q, f) for (s, q), f in kinds.items() if s == source)
+        # The boundary document is partly taken: a share of one document in each sample.
+        assert np.mean(a) == pytest.approx(low, abs=0.08) and np.mean(b) == pytest.approx(high, abs=0.08) and high > low + 0.05
+
+
+def test_mixing_ranks_by_inclusion_odds(spark, sf_dir):
+    """Ranking by the random numbers alone would sample other documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r for r in mixing.mix_sources(docs).select("doc_id", "source", "size", "p", "copies", "taken").collect() if r.p > 0 and r["size"]]
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.uniform(mixing.SEED, F.col("doc_id")).alias("u")).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    odds = lambda r: u[r.doc_id] / (1 - u[r.doc_id]) / (r.p / (1 - r.p))
+    extra = lambda r: r.taken - r.copies * r["size"]
+    differ = 0
+    for own in by.values():
+        ranked = sorted(own, key=odds)
+        taken = [r.doc_id for r in ranked if extra(r)]
+        assert taken == [r.doc_id for r in ranked[: len(taken)]]
+        differ += set(taken) != {r.doc_id for r in sorted(own, key=lambda r: u[r.doc_id])[: len(taken)]}
+    assert differ
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(7, "one two three four", "a")] * 300 + [(None, "five six", "a")] * 200 + [(8, "x", None)] * 50 + [(9, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [Counter(map(tuple, mixing.taken_words(docs.repartition(n)).collect())) for n in (1, 6)]
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+    total, target = Counter(), {}
+    for (_, size, source_size, t, _, taken), n in got[0].items():
+        total[source_size] += n * taken
+        target[source_size] = t
+        assert 0 <= taken <= 3 * size
+    assert all(abs(total[s] - target[s]) <= 1 for s in target)
+
+
 # 4. Language ID
 
 

@@ -111,19 +111,28 @@ l AS (
   FROM r WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, max(CASE WHEN ratio >= share THEN share END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR ratio < level THEN cap ELSE weight * level END AS target FROM v),
-p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END::BIGINT AS copies FROM t),
-q AS (SELECT *, greatest(0, floor(target + 0.5)::BIGINT - copies * source_size) AS words FROM p),
+k AS (SELECT source, 8 + length(bin(size)) AS m, sum(size)::BIGINT AS w FROM d GROUP BY ALL),
+x AS (
+  SELECT k.source, m, w, source_size, target, coalesce(sum(w) OVER b, 0)::BIGINT AS capped, (sum(m * w) OVER a)::BIGINT AS open
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+  WINDOW b AS (PARTITION BY k.source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         a AS (PARTITION BY k.source ORDER BY m DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+y AS (SELECT *, CASE WHEN open > 0 THEN (target - 3.0::DOUBLE * capped) / open END AS tried FROM x),
+z AS (SELECT *, arg_max(tried, m) FILTER (tried * m <= 3.0::DOUBLE) OVER (PARTITION BY source) AS level FROM y),
+e AS (SELECT *, least(coalesce(level * m, 3.0::DOUBLE), 3.0::DOUBLE) AS expected FROM z),
+g AS (SELECT *, floor(expected + 1e-9::DOUBLE)::BIGINT AS copies FROM e),
+q AS (
+  SELECT *, CASE WHEN expected - copies > 1e-9::DOUBLE THEN expected - copies ELSE 0.0::DOUBLE END AS inclusion,
+         greatest(0, floor(target + 0.5::DOUBLE)::BIGINT - sum(copies * w) OVER (PARTITION BY source))::BIGINT AS words FROM g),
 u AS (
   SELECT d.doc_id, d.size, q.*,
-         ((('0x' || substr(md5('mix-1' || chr(31) || coalesce(doc_id::VARCHAR, chr(0))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS x,
-         (words::DOUBLE / greatest(source_size, 1)) AS inclusion
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+         ((('0x' || substr(md5('mix-1' || chr(31) || coalesce(doc_id::VARCHAR, chr(0))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS r
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND 8 + length(bin(d.size)) = q.m),
 o AS (
-  SELECT *, (x / (1 - x)) / (greatest(inclusion, 1e-12::DOUBLE) / (1 - least(inclusion, (1 - 1e-12::DOUBLE)))) AS odds FROM u),
+  SELECT *, (r / (1 - r)) / (greatest(inclusion, 1e-12::DOUBLE) / (1 - least(inclusion, (1 - 1e-12::DOUBLE)))) AS odds, d.size > 0 AND inclusion > 0 AS may FROM u AS d),
 c AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM o)
-SELECT doc_id, size, source_size, target, (copies * size + least(size, greatest(0, words - prior)))::BIGINT AS taken FROM c
+  SELECT *, coalesce(sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM o)
+SELECT doc_id, size, source_size, target, copies, (copies * size + CASE WHEN may THEN least(size, greatest(0, words - prior)) ELSE 0 END)::BIGINT AS taken FROM c
 """
 
 OP2_SQL = """
