@@ -95,12 +95,12 @@ def reference_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def reference_components(prints):
+def reference_components(prints, distance=2):
     names = sorted(set(prints))
     label = {p: k for k, p in enumerate(names)}
     for p in names:
         for q in names:
-            if bin(p ^ q).count("1") <= 2 and label[p] != label[q]:
+            if bin(p ^ q).count("1") <= distance and label[p] != label[q]:
                 low, high = sorted((label[p], label[q]))
                 label = {x: low if y == high else y for x, y in label.items()}
     return label
@@ -149,6 +149,26 @@ def test_simhash_crowds(spark, monkeypatch, limit, group):
     assert len({min(g) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_simhash_at_other_distances(spark, distance):
+    rng = np.random.default_rng(13)
+    prints = {int(x) for x in rng.integers(0, 1 << 62, 100)}
+    for p in list(prints)[:60]:
+        for b in rng.integers(0, 64, rng.integers(1, 4)):
+            p ^= 1 << int(b)
+        prints.add(p)
+    centre = int(rng.integers(0, 1 << 62))
+    prints |= {centre ^ 1 << b for b in range(30)} | {centre}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
+    plan = simhash.make_plan(nodes, distance)
+    links = nodes.mapInArrow(simhash._deal(plan, 5), simhash.MAPPED).groupBy("bucket").applyInArrow(simhash._link(distance), simhash.LINKS)
+    root = {r.node: r.root for r in components.connect(links).collect()}
+    label = reference_components(prints, distance)
+    assert len({(label[p], root.get(s, s)) for p, s in zip(prints, signed, strict=True)}) == len(set(label.values())) == len({root.get(s, s) for s in signed})
+
+
 def test_keep_one(docs, rows):
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     assert not set(range(100, 110)) & set(kept) and set(range(3)) <= set(kept)
@@ -295,7 +315,7 @@ def test_language_id(spark):
     for k in range(240):
         lang = ("en", "de", "es")[k % 3]
         data.append((k, " ".join("".join(rng.choice(parts[lang], rng.integers(1, 3))) for _ in range(60)), lang))
-    data += [(1000, None, "en"), (1001, "123 --- !", "de"), (1002, "the and " * 3000, None), (None, "der und die", "de")]
+    data += [(1000, None, "en"), (1001, "123 --- ! ² ½ Ⅷ", "de"), (1002, "the and " * 3000, None), (None, "der und die", "de")]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("score", F.lit(0))
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     right = [got[i].lang_pred == lang for i, _, lang in data[:240] if got[i].held_out]
@@ -319,6 +339,13 @@ def test_forward_algorithm_sums_all_segmentations():
     assert np.exp(got[:, 0]) == pytest.approx([total(w) for w in words])
 
 
+def test_long_words_of_rare_pieces_have_a_score():
+    pieces = langid.Pieces(["▁", "a"])
+    table = langid._table(np.full((2, 2), 1e-9))
+    got = langid.word_scores(["▁" + "a" * 32, "▁" + "ж" * 32], pieces, table)
+    assert got[0] == pytest.approx([33 * np.log(1e-9)] * 2) and np.isfinite(got).all()
+
+
 # 5. Compact windows
 
 
@@ -397,9 +424,20 @@ def test_quality_verdict(spark):
 # 7. HTML
 
 
+ARTICLE = "<p>The text of the page, which is long enough to be dense and goes on for some time, so that it counts.</p>" * 4
+ARTICLE_TEXT = " ".join(["The text of the page, which is long enough to be dense and goes on for some time, so that it counts."] * 4)
+
+
 @pytest.mark.parametrize(
     "html, want",
     [
+        # An article about comments keeps its sections; reader comments go.
+        (f"<main>{ARTICLE}<section class='comment-styles'><p>How to style comments.</p></section></main>", ARTICLE_TEXT + " How to style comments."),
+        (f"<article>{ARTICLE}<div class='user-reviews'><p>Nice text, I have read it twice and liked it.</p></div></article>", ARTICLE_TEXT),
+        # No semantic element: menus of links go, headings and leads beside the body stay.
+        (f"<div><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>About</a></ul></div><div><h1>Title</h1><div>{ARTICLE}</div></div>", "Title " + ARTICLE_TEXT),
+        (f"<div><div><p>A lead that is dense as well and stands beside the body, long enough to be more than a tenth of it.</p></div><div>{ARTICLE}</div></div>", "A lead that is dense as well and stands beside the body, long enough to be more than a tenth of it. " + ARTICLE_TEXT),
+        (f"<main><h1>T</h1><p>Lead.</p><div itemprop=articleBody>{ARTICLE}</div></main>", "T Lead. " + ARTICLE_TEXT),
         (None, ""),
         ("", ""),
         ("<p>One&amp;two<br>three", "One&two three"),
@@ -418,6 +456,31 @@ def test_pages(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(rows).collect()) == [(1, "é x", 3), (2, "", 0), (2, "", 0)]
 
 
+def test_pages_without_semantic_names(spark, sf_dir):
+    """With article, nav and footer renamed to div and no classes, ratios and clusters find most articles."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    same, share = 0, []
+    for r in pages:
+        want = html_extract.main_text(r.html)
+        got = html_extract.main_text(re.sub(r"(</?)(article|nav|footer|main|header|aside)\b", r"\1div", re.sub(r' class="[^"]*"', "", r.html)))
+        same += got == want
+        share.append(len(want) / max(len(got), 1) if want in got else 0)
+    assert same >= 0.6 * len(pages) and np.median(share) > 0.9
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        t = time.perf_counter()
+        for part in ("<div>a", "<p><td><x><h1>b", "</section>", "<b><li>c</p>"):
+            html_extract.main_text(part * n)
+        return time.perf_counter() - t
+
+    seconds(200)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.05)
+
+
 # 8. Language model
 
 

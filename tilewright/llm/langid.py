@@ -6,31 +6,35 @@ forward algorithm; a text's is the product over its words.  Probabilities come
 from a few rounds of expectation maximisation over the words of a bounded sample of
 labelled documents (``per_language``), the only thing that is sampled.
 
-Words are runs of letters, lower-cased; a word of more than 32 letters is scored
-in parts of 32.  A null text or one without letters is ``und`` with score 0.
-Without labelled documents everything is ``und``.  Only id and text are inputs of a
+Words are runs of letters (Unicode category L), lower-cased; a word of more than 32 letters is scored
+in parts of 32, which no segmentation crosses.  All pieces of the vocabulary that consist of letters take part.
+Probabilities are carried with a factor for each character, so that no word leaves the range of floats.
+A null text or one without letters is ``und`` with score 0.
+Without labelled documents everything is ``und``; of languages that tie, the first by name is taken; repeated
+rows get equal predictions; an empty table gives an empty result.  Only id and text are inputs of a
 prediction; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 400
 ROUNDS = 4
 LONGEST = 32
-PIECE_MOST = 10
 UNKNOWN = 1e-7
 SMOOTHING = 0.02
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
+#: Factor of a probability for each character it accounts for.
+LIFT = 1e6
 SLICE_CHARS = 2 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,7 +49,7 @@ def vocabulary(path: str | None = None) -> list[str]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         body = piece.removeprefix(MARK)
-        if len(piece) <= PIECE_MOST and (body.isalpha() or piece == MARK):
+        if body.isalpha() or piece == MARK:
             found.add(piece)
     return sorted(found)
 
@@ -58,7 +62,7 @@ def _hash(points: np.ndarray) -> np.ndarray:
     return out
 
 
-_POWERS = np.array([pow(int(_A), k, 1 << 64) for k in range(64)], np.uint64)
+_POWERS = np.array([pow(int(_A), k, 1 << 64) for k in range(LONGEST + 2)], np.uint64)
 
 
 class Pieces:
@@ -69,6 +73,7 @@ class Pieces:
         values = np.array([self.one(p) for p in pieces], np.uint64)
         self.order = np.argsort(values)
         self.values = values[self.order]
+        self.longest = max(map(len, pieces), default=1)
 
     @staticmethod
     def one(piece: str) -> int:
@@ -90,7 +95,7 @@ class Pieces:
             edges: list[list[tuple[int, np.ndarray]]] = [[]]
             for end in range(1, n + 1):
                 own = []
-                for size in range(1, min(end, PIECE_MOST) + 1):
+                for size in range(1, min(end, self.longest) + 1):
                     piece = self.find(prefix[:, end] - prefix[:, end - size] * _POWERS[size])
                     if size == 1:
                         own.append((end - 1, np.where(piece < 0, len(self.pieces), piece)))
@@ -113,9 +118,9 @@ def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarr
         for own in edges[1:]:
             total = np.zeros((len(index), table.shape[1]))
             for start, piece in own:
-                total += alpha[start] * table[piece]
+                total += alpha[start] * (table[piece] * LIFT ** (len(alpha) - start))
             alpha.append(total)
-        out[index] = np.log(alpha[-1])
+        out[index] = np.log(alpha[-1]) - (len(edges) - 1) * np.log(LIFT)
     return out
 
 
@@ -131,12 +136,12 @@ def fit(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int = ROUN
             shape = (len(index), langs)
             alpha = [np.ones(shape)]
             for own in edges[1:]:
-                alpha.append(sum((alpha[s] * table[x] for s, x in own), np.zeros(shape)))
+                alpha.append(sum((alpha[s] * (table[x] * LIFT ** (len(alpha) - s)) for s, x in own), np.zeros(shape)))
             beta = [np.zeros(shape) for _ in edges]
             beta[-1] = counts[index] / np.maximum(alpha[-1], 1e-300)
             for end in range(len(edges) - 1, 0, -1):
                 for s, x in edges[end]:
-                    flow = table[x] * beta[end]
+                    flow = table[x] * LIFT ** (end - s) * beta[end]
                     beta[s] += flow
                     used = alpha[s] * flow
                     for k in range(langs):

@@ -17,7 +17,9 @@ partition at least.
 A fingerprint whose best plan costs more than 65 (a crowd of near copies) sends
 itself and its 64 one-bit neighbours instead: two fingerprints are within two bits
 exactly if they share one of these, and those that share one are chained to the
-smallest.  No group is ever compared pair by pair, and none is left out.
+smallest.  No group is ever compared pair by pair, and none is left out.  This holds for distance 2,
+the default; at other distances crowds are probed and verified like all others, which is exact as well but
+compares a crowd pair by pair.
 
 A text without words has the fingerprint zero and is linked like any other; null
 texts are empty; rows of equal id share their component; a component of null ids
@@ -193,11 +195,11 @@ INDEX, PROBE, NEIGHBOUR = 0, 1, 2
 def _deal(plan: Plan, n_buckets: int):
     def entries(fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         chosen, cost = plan.thresholds(fp)
-        crowd = cost > PLAN_LIMIT
+        crowd = (cost > PLAN_LIMIT) & (plan.distance == DISTANCE)
         single = plan.costs(fp)[:, 0, :]
         for i, part in enumerate(plan.parts):
             value = gather(fp, part)
-            asked = single[i] <= PLAN_LIMIT  # no plan within the limit probes any other value
+            asked = (single[i] <= PLAN_LIMIT) | (plan.distance != DISTANCE)  # no plan within the limit probes any other value
             yield INDEX, fp[asked], partition_key(i, value[asked])
             for t in range(plan.distance + 1):
                 at = np.flatnonzero((chosen[:, i] >= t) & ~crowd)
@@ -241,7 +243,7 @@ def verified(ik: np.ndarray, ifp: np.ndarray, pk: np.ndarray, pfp: np.ndarray, d
     ik, ifp = ik[order], ifp[order]
     lo, hi = np.searchsorted(ik, pk, "left"), np.searchsorted(ik, pk, "right")
     size = hi - lo
-    large = size > GROUP_LIMIT
+    large = (size > GROUP_LIMIT) & (distance == DISTANCE)
     if large.any():  # an underestimated crowd: by shared neighbours, not by pairs
         for k in np.unique(pk[large]):
             members = np.unique(np.concatenate((ifp[np.searchsorted(ik, k, "left") : np.searchsorted(ik, k, "right")], pfp[pk == k])))
