@@ -1,11 +1,14 @@
 """Telephony audio columns: mu-law and A-law tables, ADPCM blocks, resampled PCM.
 
 Bytes are carried losslessly as the 8-bit codes of a mu-law WAV file.  Reading back
-expands the codes through a 256-entry table; A-law has its own; IMA ADPCM blocks
-are decoded step by step with numpy over all blocks of a batch at once.
+expands the codes through a 256-entry table (A-law has its own).  The PCM is resampled to
+16 kHz and stored as a WAV file of 16-bit samples, and coded as IMA ADPCM blocks of 64 samples, which are
+decoded step by step with numpy over all blocks of a batch at once; what is described is read from
+the stored bytes.
 
 Null content counts as empty.  Every payload is padded with zero bytes to a positive
-multiple of 64.  Rows are independent: no shuffle, equal bytes give equal values.
+multiple of 64.  Rows are independent: no shuffle, equal bytes give equal values, ties and repeated rows too; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.vectors import row_slices
+
 BLOCK = 64
 RATE = 8000
-MU_LAW, A_LAW = 7, 6
+LINEAR, MU_LAW, A_LAW = 1, 7, 6
 
 # Fixed values of the IMA ADPCM format: index moves of a nibble and quantiser steps.
 INDEX_STEPS = (-1, -1, -1, -1, 2, 4, 6, 8)
@@ -55,12 +60,12 @@ def pad(data: bytes) -> bytes:
     return data + bytes(-len(data) % BLOCK if data else BLOCK)
 
 
-def wav_of(payload: bytes, codec: int = MU_LAW, rate: int = RATE) -> bytes:
-    """A WAV file whose samples are the payload's bytes."""
-    fmt = struct.pack("<HHIIHHH", codec, 1, rate, rate, 1, 8, 0)
-    fact = struct.pack("<I", len(payload))
-    body = b"".join((b"WAVE", b"fmt ", struct.pack("<I", len(fmt)), fmt, b"fact", struct.pack("<I", 4), fact, b"data", struct.pack("<I", len(payload) & 0xFFFFFFFF), payload))
-    return b"RIFF" + struct.pack("<I", len(body) & 0xFFFFFFFF) + body + b"\0" * (len(payload) & 1)
+def wav_of(samples: bytes, codec: int = MU_LAW, rate: int = RATE, width: int = 1) -> bytes:
+    """A mono WAV file of the samples, ``width`` bytes each."""
+    fmt = struct.pack("<HHIIHH", codec, 1, rate, rate * width, width, 8 * width) + (b"" if codec == LINEAR else b"\0\0")
+    fact = struct.pack("<I", len(samples) // width)
+    body = b"".join((b"WAVE", b"fmt ", struct.pack("<I", len(fmt)), fmt, b"fact", struct.pack("<I", 4), fact, b"data", struct.pack("<I", len(samples) & 0xFFFFFFFF), samples))
+    return b"RIFF" + struct.pack("<I", len(body) & 0xFFFFFFFF) + body + b"\0" * (len(samples) & 1)
 
 
 def read_wav(stored: bytes) -> tuple[int, int, bytes]:
@@ -101,13 +106,19 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def encode_adpcm(pcm: np.ndarray) -> np.ndarray:
-    """IMA ADPCM blocks of PCM rows of 1 + 2k samples; the inverse side of decode_adpcm()."""
+    """IMA ADPCM blocks of PCM rows of 1 + 2k samples, for decode_adpcm(); a block's first step is the one
+    nearest above its first difference."""
     steps = np.array(STEP_SIZES)
     n, width = pcm.shape
-    value, index = pcm[:, 0].astype(np.int32), np.zeros(n, np.int32)
+    wide = pcm.astype(np.int32)
+    value = wide[:, 0].copy()
+    index = np.minimum(np.searchsorted(steps, np.abs(wide[:, min(1, width - 1)] - value)), STEP_COUNT - 1)
+    head = np.zeros((n, 4), np.uint8)
+    head[:, :2] = wide[:, :1].astype("<i2").view(np.uint8)
+    head[:, 2] = index
     move = np.array(INDEX_STEPS * 2, np.int32)
-    codes = []
-    for x in pcm[:, 1:].T.astype(np.int32):
+    codes = np.empty((width - 1, n), np.uint8)
+    for k, x in enumerate(wide[:, 1:].T):
         step, diff = steps[index], x - value
         size, code, delta = np.abs(diff), np.zeros(n, np.int32), step >> 3
         for bit, part in ((4, step), (2, step >> 1), (1, step >> 2)):
@@ -118,11 +129,15 @@ def encode_adpcm(pcm: np.ndarray) -> np.ndarray:
         code |= np.where(diff < 0, 8, 0)
         value = np.clip(value + np.where(diff < 0, -delta, delta), -32768, 32767)
         index = np.clip(index + move[code], 0, STEP_COUNT - 1)
-        codes.append(code)
-    nibbles = np.array(codes, np.uint8).T
-    head = np.zeros((n, 4), np.uint8)
-    head[:, :2] = pcm[:, 0].astype("<i2").reshape(-1, 1).view(np.uint8)
-    return np.concatenate((head, nibbles[:, 0::2] | nibbles[:, 1::2] << 4), 1)
+        codes[k] = code
+    return np.concatenate((head, (codes[0::2] | codes[1::2] << 4).T), 1)
+
+
+def adpcm_rows(pcm: np.ndarray) -> np.ndarray:
+    """A signal of whole blocks as rows for encode_adpcm(): each with the sample before it, the first with silence."""
+    rows = pcm.reshape(-1, BLOCK)
+    before = np.append(np.int16(0), rows[:-1, -1])
+    return np.concatenate((before[:, None], rows), 1)
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -139,52 +154,66 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(at, np.arange(len(pcm)), pcm).astype(np.int16)
 
 
-def describe(payload: bytes, rate: int, mu: np.ndarray, al: np.ndarray) -> str:
-    """Level, peak, sign changes of the mu-law signal, peak of the A-law reading, and
-    check sums of the PCM at 16 kHz and of the payload's ADPCM blocks."""
-    codes = np.frombuffer(payload, np.uint8)
+def describe(codes: np.ndarray, mu: np.ndarray, al: np.ndarray) -> str:
+    """Level, peak and sign changes of the mu-law signal, and the peak of its A-law reading."""
     counts = np.bincount(codes, minlength=256)
-    pcm = mu[codes]
     energy = int((counts * mu.astype(np.int64) ** 2).sum())
     present = counts > 0
     crossings = int(np.count_nonzero((codes[1:] ^ codes[:-1]) & 128))
-    wide = resample(pcm, rate, 2 * rate)
-    return f"rms={(energy / len(codes)) ** 0.5:.3f};peak={int(np.abs(mu[present].astype(int)).max())};zc={crossings};alaw={int(np.abs(al[present].astype(int)).max())};pcm16k={zlib.crc32(wide.astype('<i2').tobytes()):08x}"
+    return f"rms={(energy / len(codes)) ** 0.5:.3f};peak={int(np.abs(mu[present].astype(int)).max())};zc={crossings};alaw={int(np.abs(al[present].astype(int)).max())}"
+
 
+MEDIA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+#: Blocks that are coded at once.
+BLOCKS = 1 << 15
 
-MEDIA = "doc_id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+def _adpcm(signals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks, first block of each signal, sum of squared errors of each signal) of all signals together."""
+    rows = np.concatenate([adpcm_rows(x) for x in signals])
+    blocks, errors = [], []
+    for i in range(0, len(rows), BLOCKS):
+        blocks.append(encode_adpcm(rows[i : i + BLOCKS]))
+        errors.append(((decode_adpcm(blocks[-1]).astype(np.int64) - rows[i : i + BLOCKS]) ** 2).sum(1))
+    first = np.cumsum([0] + [len(x) // BLOCK for x in signals])
+    return np.concatenate(blocks), first, np.add.reduceat(np.concatenate(errors), first[:-1])
 
 
 def _store(schema: pa.Schema, files: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mu, al = mu_law_table(), a_law_table()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
+            contents = batch.column("content").cast(pa.binary())
+            sizes = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(contents), 0).to_numpy().astype(np.int64) + BLOCK)))
+            for at, stop in row_slices(sizes, 2 << 20):
+                part = batch.slice(at, stop - at)
                 out: dict[str, list] = {k: [] for k in schema.names if k != "doc_id"}
-                payloads = []
-                for content in part.column("content").cast(pa.binary()).to_pylist():
+                signals = []
+                for content in contents.slice(at, stop - at).to_pylist():
                     content = content or b""
                     stored = wav_of(pad(content))
                     _, rate, payload = read_wav(stored)
-                    payloads.append(payload)
+                    codes = np.frombuffer(payload, np.uint8)
+                    signals.append(mu[codes])
+                    pcm = wav_of(resample(signals[-1], rate, 2 * rate).astype("<i2").tobytes(), LINEAR, 2 * rate, 2)
                     out["n_bytes"].append(len(content))
                     out["payload_bytes"].append(len(payload))
                     out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                     out["tail_crc32"].append(zlib.crc32(payload[-BLOCK:]))
                     out["media_bytes"].append(len(stored))
                     out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
-                    out["feature"].append(describe(payload, rate, mu, al))
+                    out["feature"].append(describe(codes, mu, al))
+                    out["pcm_bytes"].append(len(pcm))
+                    out["pcm_sha256"].append(hashlib.sha256(pcm).hexdigest())
                     if files:
                         out["media"].append(stored)
-                        out["pcm"].append(resample(mu[np.frombuffer(payload, np.uint8)], rate, 2 * rate).astype("<i2").tobytes())
-                # Each 64-byte piece of a payload is also an ADPCM block: all rows' blocks at once.
-                blocks = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
-                sums = [decode_adpcm(blocks[i : i + (1 << 15)]).astype(np.int64).sum(1) for i in range(0, len(blocks), 1 << 15)]
-                ends = np.cumsum([len(p) // BLOCK for p in payloads])
-                total = np.concatenate(([0], np.cumsum(np.concatenate(sums)))) if sums else np.zeros(1, np.int64)
-                for k, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
-                    out["feature"][k] += f";adpcm={int(total[b] - total[a])}"
+                        out["pcm"].append(pcm)
+                blocks, first, errors = _adpcm(signals)
+                for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                    own = blocks[a:b].tobytes()
+                    out["feature"][k] += f";adpcm={zlib.crc32(own):08x};noise={(errors[k] / len(signals[k])) ** 0.5:.3f}"
+                    if files:
+                        out["adpcm"].append(own)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id") if c == "doc_id" else pa.array(out[c], schema.field(c).type) for c in schema.names], schema=schema)
 
     return run
@@ -193,11 +222,13 @@ def _store(schema: pa.Schema, files: bool):
 def store_media(df: DataFrame, id_col: str = "doc_id", content_col: str = "text", files: bool = False) -> DataFrame:
     """Each row's content stored as mu-law audio and read back.
 
-    With ``files`` also ``media`` (the WAV file) and ``pcm`` (16-bit PCM at 16 kHz).
+    With ``files`` also ``media`` (the mu-law WAV file), ``pcm`` (the WAV file of 16-bit PCM at 16 kHz) and
+    ``adpcm`` (the IMA ADPCM blocks of 36 bytes, 64 samples each).  ``feature`` has the signal's level (rms), peak, sign
+    changes (zc), A-law peak, the check sum of its ADPCM blocks and the rms of what these lose (noise).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(content_col).alias("content"))
-    ddl = MEDIA.format(id=rows.schema["doc_id"].dataType.simpleString()) + (", media binary, pcm binary" if files else "")
+    ddl = MEDIA.format(id=rows.schema["doc_id"].dataType.simpleString()) + (", media binary, pcm binary, adpcm binary" if files else "")
     return rows.mapInArrow(_store(to_arrow_schema(StructType.fromDDL(ddl)), files), ddl)

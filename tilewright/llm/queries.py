@@ -11,7 +11,7 @@ from tilewright.llm.langid import identify
 from tilewright.llm.lm import score_documents
 from tilewright.llm.mixing import taken_words
 from tilewright.llm.media import store_media
-from tilewright.llm.packing import pack_documents
+from tilewright.llm.packing import pack_conversations, pack_documents
 from tilewright.llm.quality import LIMITS, STOP_WORDS, score_quality
 from tilewright.llm.simhash import near_duplicates
 from tilewright.llm.substring import near_passages
@@ -25,46 +25,61 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by near_duplicates(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by remove_repeats(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by taken_words(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return taken_words(_table(spark, sf_dir, "documents"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by identify(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by near_passages(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return near_passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by score_quality(); nulls, ties, repeats, long texts and empty tables as in its module."""
     scored = score_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.selectExpr("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``pages`` by extract_pages(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by score_documents(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by store_media(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return store_media(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` by pack_documents(); nulls, ties, repeats, long texts and empty tables as in its module."""
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``conversations``; op10 with a loss mask.  Cases as in pack_conversations()."""
+    return pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LIMIT_SQL = {
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
@@ -168,6 +183,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_media": op9_media,
         "op10_packing": op10_packing,
+        "packing_conversations": packing_conversations,
     }
 
 
