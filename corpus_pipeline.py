@@ -1,7 +1,8 @@
 """Five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is
-written as Parquet before the next one reads it.
+written as Parquet before the next one reads it.  An empty table passes through every stage; columns other than
+doc_id, text, source and n_chars are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from tilewright.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules accept."""
+    """Documents that the quality rules accept.  Null and empty texts go; repeated rows stay or go together."""
     return filter_quality(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near copies."""
+    """One document, of the smallest id, of each group of near copies.  Rows of equal id stay together; rows without an
+    id, and texts without words but for the first of these, are left as they are or linked as in simhash.py."""
     ship(spark)
     return keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that an earlier document has; n_chars follows the text."""
+    """Texts without the strings that an earlier document has; n_chars follows the text.  Every row stays; null texts stay null,
+    rows of equal id never remove from one another, rows without an id stand last."""
     ship(spark)
     cleaned = remove_repeats(docs, keep_text=True)
     text = F.when(F.col("n_bytes") > 0, F.col("kept"))
@@ -39,13 +42,14 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents so that sources share the words by weight."""
+    """Copies of documents so that sources share the words by weight.  A null source is one of its own, the last; texts
+    without words are taken no times; equal rows are taken in any order."""
     mixed = mixed_documents(docs)
     return mixed.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048."""
+    """Token sequences of at most 2048.  Null texts are the end id alone; rows of equal id are packed one by one."""
     ship(spark)
     return pack_documents(docs)
 
