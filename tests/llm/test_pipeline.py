@@ -96,3 +96,23 @@ def test_suffix_stage_matches_the_operator(stages):
     before, after = stages["suffix_dedup"]
     counts = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.remove_repeats(before).collect()}
     assert all(len(r.text.encode()) <= counts[r.doc_id] for r in after.collect())
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, uid string, rank double, size long, kept boolean"
+
+
+@pytest.mark.parametrize("rows", ["some", "none"])
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, sf_dir, rows):
+    """Every stage on rows with nulls everywhere, repeated rows, empty texts and columns named like its own."""
+    clean = "The house of the old man was by the river and it was in the town that he had seen on that day with his friend near the place."
+    data = [(k, f"{clean} {k} " + " ".join(f"of the word{k}x{j}" for j in range(30)), "en", "ab"[k % 2], None) for k in range(8)]
+    data += [data[0]] * 5 + [(50, None, None, None, None), (None, clean, None, None, 3), (None, None, None, None, None), (51, "", "", "", 0), (52, clean * 40, "en", None, 9)]
+    docs = spark.createDataFrame([(*r, None, None, None, None, None) for r in data if rows == "some"], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialize(stage(spark, docs, sf_dir), name)
+        assert (after.count() > 0) == (rows == "some"), name
+        if name == "packing":
+            break
+        assert after.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        docs = after

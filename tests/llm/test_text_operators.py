@@ -204,6 +204,16 @@ def test_suffix_dedup(docs, rows, hot):
     assert Counter(tuple(r) for r in got) == reference_removal([r[:2] for r in rows])
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    rng = np.random.default_rng(14)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(4, a)] * 60 + [(2, b)] * 3 + [(6, a + " " + b), (7, b), (None, None), (None, None), (8, "x" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == reference_removal(rows)
+    kept = suffix_dedup.remove_repeats(docs.withColumn("uid", F.lit("clash")), keep_text=True).collect()
+    assert Counter((r.doc_id, r.row.uid, r.kept == a) for r in kept if r.doc_id == 4) == {(4, "clash", True): 60}
+
+
 def test_suffix_dedup_text_and_other_columns(docs):
     out = suffix_dedup.remove_repeats(docs, keep_text=True)
     r = {x["doc_id"]: x for x in out.collect()}

@@ -17,9 +17,10 @@ found first, then ordered:
    smaller document; the longer common prefix is its longest previous factor.  At 50
    bytes or more the string goes.
 
-Exact copies of a text are recognised before step 1 and removed as a whole.
-Null texts count as empty.  Rows of equal doc_id never remove from one another; null
-ids stand after all others.  Texts shorter than the length stay as they are; an
+Exact copies of a text are recognised before step 1 and removed as a whole.  So step 3 decides what
+neither a whole copy (by SHA-256) nor a context that stands elsewhere as it is (by a 64-bit hash) decides.
+Null texts count as empty.  Rows of equal doc_id never remove from one another; repeated rows (equal id and text) are
+searched once and get equal results; null ids stand after all others.  Texts shorter than the length stay as they are; an
 empty table gives an empty result.  Other columns of the input are not read.
 """
 
@@ -476,12 +477,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Written before it is joined: Spark then splits a text that much of all rows copy.
     first = materialize(ids.groupBy("sha").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "first")
     copies = materialize(ids.join(first, "sha").where((F.col("rank") > F.col("first")) & (F.col("n_bytes") >= length)).select("uid", "n_bytes").distinct(), "copies")
+    again = materialize(ids.groupBy("uid").count().where("count > 1").select("uid"), "again")
     rows = base.withColumn("b2", X.row_bucket_column("uid", n))
 
-    alone = rows.where(F.octet_length("text") >= length).join(copies.select("uid"), "uid", "left_anti").select("uid", "text")
-    shared = materialize(alone.mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared", large=True)
+    alone = X.once(rows.where(F.octet_length("text") >= length).join(copies.select("uid"), "uid", "left_anti").select("b2", "uid", "rank", "text"), again)
+    shared = materialize(alone.select("uid", "text").mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared", large=True)
     passages = materialize(
-        rows.select("b2", "uid", "rank", "text").groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages", large=True
+        alone.groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages", large=True
     )
     discard(shared)
     known = materialize(passages.mapInArrow(_ask_contexts(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_contexts(n, hot), REPLY), "contexts", large=True)
@@ -493,10 +495,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(passages)
     discard(known)
     release(docs.sparkSession)
-    fields = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["row", "kept"] if keep_text else [])
-    source = rows.select("b2", "doc_id", "uid", "text", *(["row"] if keep_text else []))
+    kept = ["kept"] if keep_text else []
+    fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
-    result = StructType([source.schema[c] if c in source.columns else StructType.fromDDL(f"{c} {types[c]}")[0] for c in fields])
-    # What comes back from Python may be null anywhere.
-    result = StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)"):false', r"\1:true", result.json())))
-    return source.groupBy("b2").cogroup(spans.groupBy("b2")).applyInArrow(_apply(source.columns, to_arrow_schema(result), keep_text), result)
+    source = rows.select("b2", "doc_id", "uid", "text", *(["row"] if keep_text else []))
+
+    def applied(source: DataFrame, own: list[str]) -> DataFrame:
+        result = StructType([source.schema[c] if c in source.columns else StructType.fromDDL(f"{c} {types[c]}")[0] for c in (*own, *fields, *kept)])
+        # What comes back from Python may be null anywhere.
+        result = StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)"):false', r"\1:true", result.json())))
+        return source.groupBy("b2").cogroup(spans.groupBy("b2")).applyInArrow(_apply(source.columns, to_arrow_schema(result), keep_text), result)
+
+    own = ["doc_id"] + (["row"] if keep_text else [])
+    several = source.join(again, "uid", "left_semi")
+    one = several.groupBy("uid").agg(F.first("b2").alias("b2"), F.first("text").alias("text"))
+    several = several.select("uid", *own).join(applied(one, ["uid"]), "uid")
+    columns = ["doc_id", *fields, *(["row", "kept"] if keep_text else [])]
+    return applied(source.join(again, "uid", "left_anti"), own).select(*columns).unionByName(several.select(*columns))
