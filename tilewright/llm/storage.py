@@ -50,6 +50,18 @@ def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+    """Write ``df`` to the shared folder in ``n`` buckets of a column, so that it can be grouped by it without a shuffle."""
+    spark = df.sparkSession
+    table = f"tilewright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
+    df.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(min(n, 100_000), by).saveAsTable(table)
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
