@@ -7,19 +7,16 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 50
 
-
-def descendants(folders: DataFrame, root: int, depth: int = DEPTH) -> DataFrame:
-    """The folders below ``root``, itself included; a level at a time, until one is empty."""
-    found = folders.where(F.col("folder") == root).select("folder")
-    level = found
-    for _ in range(depth):
-        level = folders.join(level.select(F.col("folder").alias("parent")), "parent").select("folder")
-        if level.isEmpty():
-            break
+def descendants(folders: DataFrame, root: int) -> DataFrame:
+    """The folders below ``root``, itself included; a level at a time, until one has no new folder.
+    Folders met before are left out of a level, so that a cycle ends."""
+    found = level = folders.where(F.col("folder") == root).select("folder").distinct()
+    while not level.isEmpty():
+        below = folders.join(level.select(F.col("folder").alias("parent")), "parent").select("folder").distinct()
+        level = below.join(found, "folder", "left_anti")
         found = found.unionByName(level)
-    return found.distinct()
+    return found
 
 
 def first_of_group(df: DataFrame, key: str, order: list[str], counts: list[str] = ()) -> DataFrame:

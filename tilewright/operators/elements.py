@@ -65,8 +65,8 @@ def latest(df: DataFrame, by: list[str], version: str, keep: list[str]) -> DataF
 
 
 def nth_version(df: DataFrame, by: list[str], version: str, n: int, keep: list[str]) -> DataFrame:
-    """The row of the n-th newest version (1: newest) of each key.  The n greatest versions of each
-    key are kept by a bounded aggregate, whatever the length of its history."""
+    """The row of the n-th newest version (1: newest) of each key.  Spark keeps only the n first rows of each key before it
+    shuffles them, as the rank is bounded."""
     w = Window.partitionBy(*by).orderBy(F.col(version).desc())
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).where(F.col("place") == n).select(*by, version, *[c for c in keep if c != version])
 

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 def band_stats(pixels: DataFrame, by: list[str] | None = None, value: str = "value") -> DataFrame:
     """min, max, mean, stdev (of the population) and samples of each group, in one pass."""
     v = F.col(value).cast("double")
-    mean = F.sum(v) / F.count(v)
-    square = F.sum(v * v) / F.count(v)
     return pixels.groupBy(*(by or [])).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("stdev"), F.count(v).alias("samples")
+        F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(v) / F.count(v)).alias("mean"), F.stddev_pop(v).alias("stdev"), F.count(v).alias("samples")
     )
 
 
@@ -48,15 +46,16 @@ def histogram(pixels: DataFrame, bins: int, by: list[str] | None = None, low: fl
     return out
 
 
-def threshold(hist: DataFrame, fraction: float, low_value: Column, high_value: Column, from_max: bool = False) -> DataFrame:
+def threshold(hist: DataFrame, fraction: float, ends: DataFrame, from_max: bool = False) -> DataFrame:
     """The edge at which the running count from one end first passes a fraction of all; the
-    value of that end if it is the first bin.  ``hist`` is one histogram: bounded by its bins."""
+    value of that end if it is the first bin.  ``hist`` is one histogram: bounded by its bins; ``ends``: one row of
+    low and high, the values of the ends."""
     order = Window.orderBy(F.col("bin").desc() if from_max else F.col("bin"))
     run = hist.withColumn("run", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order))
     run = run.withColumn("all", F.sum("count").over(Window.partitionBy())).where(F.col("run") > fraction * F.col("all"))
-    first = run.agg(F.min_by(F.struct("rank", "edge0", "edge1"), "rank").alias("f"))
+    first = run.agg(F.min_by(F.struct("rank", "edge0", "edge1"), "rank").alias("f")).crossJoin(F.broadcast(ends))
     edge = F.col("f.edge1") if from_max else F.col("f.edge0")
-    return first.select(F.when(F.col("f.rank") == 1, high_value if from_max else low_value).otherwise(edge).cast("double").alias("threshold"))
+    return first.select(F.when(F.col("f.rank") == 1, F.col("high") if from_max else F.col("low")).otherwise(edge).cast("double").alias("threshold"))
 
 
 METHODS = ("mean", "median", "max", "min", "nearest", "mode", "maxcolor", "mincolor")

@@ -206,3 +206,28 @@ def possible_sizes(spark: SparkSession, width: int, height: int) -> DataFrame:
         return F.explode(F.array_distinct(F.array(F.floor(F.lit(n) / F.col("s")), F.ceil(F.lit(n) / F.col("s")))))
 
     return k.withColumn("w", halves(width)).withColumn("h", halves(height)).select("w", "h").where("w + h > 0").distinct()
+
+
+UNITS = ("base_pixels", "fraction", "mag_pixels", "nm", "um", "mm", "m", "km")
+
+
+def scale_from_units(unit: Column, size: Column, mm: Column, native: Column, wanted: Column) -> Column:
+    """Base pixels for one unit of a length; null for a name that is no unit.  ``mm``: millimetres of a pixel;
+    ``native`` and ``wanted``: magnifications."""
+    metric = {"nm": 1e-6, "um": 1e-3, "mm": 1.0, "m": 1e3, "km": 1e6}
+    out = F.when(unit == "base_pixels", 1.0).when(unit == "fraction", size).when(unit == "mag_pixels", native / wanted)
+    for name, length in metric.items():
+        out = out.when(unit == name, length / mm)
+    return out
+
+
+def convert_scale(value: Column, source: Column, target: Column) -> Column:
+    """A length in units of ``source`` base pixels in units of ``target`` ones."""
+    return value * source / target
+
+
+def tile_in_range(x: Column, y: Column, z: Column, frame: Column, levels: int, tile_w: int, tile_h: int, size_x: int, size_y: int, frames: int = 1) -> Column:
+    """Whether a level has a tile, and the image the frame."""
+    step = F.pow(F.lit(2.0), levels - 1 - z)
+    inside = (x >= 0) & (y >= 0) & (x < F.ceil(size_x / (step * tile_w))) & (y < F.ceil(size_y / (step * tile_h)))
+    return (z >= 0) & (z < levels) & (frame >= 0) & (frame < frames) & inside

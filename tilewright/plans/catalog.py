@@ -22,7 +22,7 @@ def folder_descendants(spark, sf_dir):
 
 def _below(spark, sf_dir) -> DataFrame:
     d = C.descendants(V.folder(spark, sf_dir), 1001)
-    return V.item(spark, sf_dir).join(F.broadcast(d), "folder", "left_semi")
+    return V.item(spark, sf_dir).join(d, "folder", "left_semi")
 
 
 @query(TREE + "SELECT e.id, i.item, i.name FROM element e JOIN item i ON e.annotation = i.item JOIN d USING (folder) WHERE e.type <> 'point' ORDER BY e.created DESC, e.id LIMIT 100 OFFSET 20")
@@ -266,11 +266,14 @@ def embedding_projection(spark, sf_dir):
     return out.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-@query(None)
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN (props->>'$.k')::INT WHEN 3 THEN (props->>'$.k')::INT END AS k, CASE event_id % 4 WHEN 1 THEN 2 END AS b, event_id % 4 <> 3 AS done FROM events")
 def json_patch(spark, sf_dir):
-    """Patches (add, replace, remove) on the JSON of events; a bad path gives null."""
+    """Patches (replace, add, remove) on the JSON of events, read back; adding what is there is refused and leaves the text."""
     from tilewright.functions.json_patch import patched
 
     e = V.table(spark, sf_dir, "events").select("event_id", "props")
-    ops = F.when(F.col("event_id") % 3 == 0, '[{"op":"replace","path":"/k","value":1}]').when(F.col("event_id") % 3 == 1, '[{"op":"add","path":"/a","value":{"b":2}}]').otherwise('[{"op":"remove","path":"/k"}]')
-    return e.select("event_id", patched(F.col("props"), ops).alias("patched"))
+    m = F.col("event_id") % 4
+    ops = F.when(m == 0, '[{"op":"replace","path":"/k","value":1}]').when(m == 1, '[{"op":"add","path":"/a","value":{"b":2}}]').when(m == 2, '[{"op":"remove","path":"/k"}]').otherwise('[{"op":"add","path":"/k","value":9}]')
+    e = e.withColumn("patched", patched(F.col("props"), ops))
+    text = F.coalesce("patched", "props")
+    return e.select("event_id", F.get_json_object(text, "$.k").cast("int").alias("k"), F.get_json_object(text, "$.a.b").cast("int").alias("b"), F.col("patched").isNotNull().alias("done"))

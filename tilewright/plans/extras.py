@@ -64,10 +64,13 @@ def constant_color(spark, sf_dir):
     return t.agg(F.floor(F.avg("value")).cast("int").alias("fill"), F.max("value").alias("top"), F.count("*").alias("n")).select("tx", "ty", "fill", "top", (1024 - F.col("n")).alias("padded"))
 
 
-@query(V.with_views("mosaic") + ", g AS (SELECT a AS x, b AS y FROM range(220) p(a), range(220) q(b)) SELECT g.x, g.y, coalesce(m.value, 255) AS value FROM g LEFT JOIN mosaic m ON m.x = g.x - 10 AND m.y = g.y - 30")
+@query(V.with_views("mosaic") + ", z AS (SELECT " + V.HEIGHT_SQL + " AS h), g AS (SELECT unnest(range(greatest(h, 200) + 20)) AS x, h FROM z), k AS (SELECT x, h, unnest(range(greatest(h, 200) + 20)) AS y FROM g) SELECT k.x, k.y, coalesce(m.value, 255) AS value FROM k LEFT JOIN mosaic m ON m.x = k.x - (greatest(h, 200) + 20 - 200) // 2 AND m.y = k.y - (greatest(h, 200) + 20 - h) // 2")
 def letterbox(spark, sf_dir):
     """The raster in the middle of a square, the rest filled."""
-    g = spark.range(220 * 220).select((F.col("id") % 220).alias("ox"), F.expr("id div 220").alias("oy")).withColumns({"x": F.col("ox") - 10, "y": F.col("oy") - 30})
+    h = V.height(spark, sf_dir)
+    side = max(h, V.WIDTH) + 20
+    g = spark.range(side * side).select((F.col("id") % side).alias("ox"), F.expr(f"id div {side}").alias("oy"))
+    g = g.withColumns({"x": F.col("ox") - (side - V.WIDTH) // 2, "y": F.col("oy") - (side - h) // 2})
     return g.join(V.mosaic(spark, sf_dir), ["x", "y"], "left").select(F.col("ox").alias("x"), F.col("oy").alias("y"), F.coalesce("value", F.lit(255)).alias("value"))
 
 

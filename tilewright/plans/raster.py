@@ -77,19 +77,23 @@ def histogram_density(spark, sf_dir):
     return R.histogram(V.mosaic(spark, sf_dir), 32, density=True)
 
 
+def _ends(m: DataFrame) -> DataFrame:
+    return m.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"))
+
+
 _H = M + ", h AS (WITH " + _hist_sql("mosaic", "", "64", LOW, HIGH) + ")"
 
 
 @query(_H + ", r AS (SELECT *, row_number() OVER o AS k, sum(count) OVER o AS run, sum(count) OVER () AS n FROM h WINDOW o AS (ORDER BY bin)) SELECT CASE WHEN k = 1 THEN (SELECT min(value) FROM mosaic)::DOUBLE ELSE edge0 END AS threshold FROM r WHERE run > 0.02 * n ORDER BY k LIMIT 1")
 def hist_threshold_low(spark, sf_dir):
     m = V.mosaic(spark, sf_dir)
-    return R.threshold(R.histogram(m, 64), 0.02, F.lit(m.agg(F.min("value")).first()[0]).cast("double"), F.lit(None))
+    return R.threshold(R.histogram(m, 64), 0.02, _ends(m))
 
 
 @query(_H + ", r AS (SELECT *, row_number() OVER o AS k, sum(count) OVER o AS run, sum(count) OVER () AS n FROM h WINDOW o AS (ORDER BY bin DESC)) SELECT CASE WHEN k = 1 THEN (SELECT max(value) FROM mosaic)::DOUBLE ELSE edge1 END AS threshold FROM r WHERE run > 0.02 * n ORDER BY k LIMIT 1")
 def hist_threshold_high(spark, sf_dir):
     m = V.mosaic(spark, sf_dir)
-    return R.threshold(R.histogram(m, 64), 0.02, F.lit(None), F.lit(m.agg(F.max("value")).first()[0]).cast("double"), from_max=True)
+    return R.threshold(R.histogram(m, 64), 0.02, _ends(m), from_max=True)
 
 
 @query(M + "SELECT CASE WHEN min(value) >= 0 AND max(value) <= 255 THEN 0 ELSE min(value) END AS auto_min, CASE WHEN min(value) >= 0 AND max(value) <= 255 THEN 255 ELSE max(value) END AS auto_max, min(value) AS data_min, max(value) AS data_max FROM mosaic")
@@ -108,18 +112,18 @@ for _m, _e in {"mean": "floor(avg(value))::INT", "median": "floor(median(value))
 
     @query(_pyramid_sql(_e), f"pyramid_{_m}")
     def _pyramid(spark, sf_dir, method=_m):
-        return R.half(V.mosaic(spark, sf_dir), method, V.WIDTH, 160)
+        return R.half(V.mosaic(spark, sf_dir), method, V.WIDTH, V.height(spark, sf_dir))
 
 
 @query(M + "SELECT x // 2 AS x, y // 2 AS y, value FROM mosaic WHERE x % 2 = 0 AND y % 2 = 0")
 def pyramid_nearest(spark, sf_dir):
-    return R.half(V.mosaic(spark, sf_dir), "nearest", V.WIDTH, 160)
+    return R.half(V.mosaic(spark, sf_dir), "nearest", V.WIDTH, V.height(spark, sf_dir))
 
 
 @query(M + """, q AS (SELECT x // 2 AS x, y // 2 AS y, list(value ORDER BY x % 2, y % 2) AS v FROM mosaic GROUP BY 1, 2)
   SELECT x, y, CASE WHEN v[2] = v[3] OR v[2] = v[4] THEN v[2] WHEN v[3] = v[4] THEN v[3] ELSE v[1] END AS value FROM q""")
 def pyramid_mode(spark, sf_dir):
-    return R.half(V.mosaic(spark, sf_dir), "mode", V.WIDTH, 160)
+    return R.half(V.mosaic(spark, sf_dir), "mode", V.WIDTH, V.height(spark, sf_dir))
 
 
 def _colour_sql(direction: str) -> str:
@@ -143,7 +147,7 @@ def pyramid_mincolor(spark, sf_dir):
   SELECT 3 AS level, count(*)::BIGINT AS pixels, sum(value)::BIGINT AS total FROM mosaic UNION ALL SELECT 2, count(*), sum(value)::BIGINT FROM a UNION ALL SELECT 1, count(*), sum(value)::BIGINT FROM b UNION ALL SELECT 0, count(*), sum(value)::BIGINT FROM c""")
 def pyramid_levels(spark, sf_dir):
     """Each level from the one above it."""
-    level, levels, w, h = V.mosaic(spark, sf_dir), [], V.WIDTH, 160
+    level, levels, w, h = V.mosaic(spark, sf_dir), [], V.WIDTH, V.height(spark, sf_dir)
     for k in (3, 2, 1, 0):
         levels.append(level.agg(F.lit(k).alias("level"), F.count("*").alias("pixels"), F.sum("value").alias("total")))
         level, w, h = R.half(level, "mean", w, h), -(-w // 2), -(-h // 2)
@@ -158,10 +162,13 @@ def region_nearest(spark, sf_dir):
     return R.region_nearest(V.mosaic(spark, sf_dir), 17, 9, 120, 100, 50, 40)
 
 
-@query(M + """, i AS (SELECT a AS x, b AS y, floor(a * 200 / 64)::INT AS sx, floor(b * 160 / 51)::INT AS sy FROM range(64) p(a), range(51) q(b)) SELECT i.x, i.y, m.value FROM i JOIN mosaic m ON m.x = sx AND m.y = sy""")
+@query(M + f""", z AS (SELECT {V.HEIGHT_SQL} AS h), o AS (SELECT h, least(64, floor(64 * 200 / greatest(200, h))::BIGINT) AS ow, least(64, floor(64 * h / greatest(200, h))::BIGINT) AS oh FROM z),
+  i AS (SELECT a AS x, b AS y, floor(a * 200 / ow)::INT AS sx, floor(b * h / oh)::INT AS sy FROM o, range(64) p(a), range(64) q(b) WHERE a < ow AND b < oh) SELECT i.x, i.y, m.value FROM i JOIN mosaic m ON m.x = sx AND m.y = sy""")
 def thumbnail(spark, sf_dir):
     """The whole image within 64x64, its shape kept."""
-    return R.region_nearest(V.mosaic(spark, sf_dir), 0, 0, 200, 160, 64, 51)
+    h = V.height(spark, sf_dir)
+    side = max(V.WIDTH, h)
+    return R.region_nearest(V.mosaic(spark, sf_dir), 0, 0, V.WIDTH, h, 64 * V.WIDTH // side, 64 * h // side)
 
 
 @query(M + "SELECT value FROM mosaic WHERE x = 57 AND y = 91")
@@ -169,10 +176,10 @@ def pixel_lookup(spark, sf_dir):
     return V.mosaic(spark, sf_dir).where("x = 57 AND y = 91").select("value")
 
 
-@query(V.with_views("frames") + "SELECT frame % 4 * 200 + x AS x, frame // 4 * 160 + y AS y, value FROM frames")
+@query(V.with_views("frames") + "SELECT frame % 4 * 200 + x AS x, frame // 4 * " + V.HEIGHT_SQL + " + y AS y, value FROM frames")
 def frame_mosaic(spark, sf_dir):
     """Frames side by side in a grid of ceil(sqrt(10)) across."""
-    return V.frames(spark, sf_dir).select((F.col("frame") % 4 * 200 + F.col("x")).alias("x"), (F.expr("frame div 4") * 160 + F.col("y")).alias("y"), "value")
+    return V.frames(spark, sf_dir).select((F.col("frame") % 4 * 200 + F.col("x")).alias("x"), (F.expr("frame div 4") * V.height(spark, sf_dir) + F.col("y")).alias("y"), "value")
 
 
 RAMP = [0.0, 60.0, 255.0]
@@ -317,10 +324,10 @@ def sink_masked(spark, sf_dir):
     return R.last_write(e, ["x", "y"])
 
 
-@query(M + ", g AS (SELECT a AS x, b AS y FROM range(210) p(a), range(170) q(b)) SELECT g.x, g.y, coalesce(m.value, 0) AS value FROM g LEFT JOIN mosaic m ON m.x = g.x AND m.y = g.y")
+@query(M + ", g AS (SELECT a AS x, b AS y FROM range(210) p(a), (SELECT unnest(range(" + V.HEIGHT_SQL + " + 10)) AS b)) SELECT g.x, g.y, coalesce(m.value, 0) AS value FROM g LEFT JOIN mosaic m ON m.x = g.x AND m.y = g.y")
 def sink_resize(spark, sf_dir):
-    """A raster grown to 210x170, the new pixels zero."""
-    g = spark.range(210 * 170).select((F.col("id") % 210).alias("x"), F.expr("id div 210").alias("y"))
+    """A raster grown by ten pixels on both axes, the new ones zero."""
+    g = spark.range(210 * (V.height(spark, sf_dir) + 10)).select((F.col("id") % 210).alias("x"), F.expr("id div 210").alias("y"))
     return g.join(V.mosaic(spark, sf_dir), ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0)).alias("value"))
 
 

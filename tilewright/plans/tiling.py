@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tilewright.operators import tiling as T
@@ -9,6 +11,7 @@ from tilewright.plans.registry import query
 from tilewright.sources import views as V
 
 W, H = 200, 160
+#: Stands in the SQL for the height of the raster, which is read from the table.
 PLAIN = (T.Axis(W, 64), T.Axis(H, 64))
 OVERLAP = (T.Axis(W, 64, 16), T.Axis(H, 64, 16))
 EDGES = (T.Axis(W, 64, 16, edges=True), T.Axis(H, 64, 16, edges=True))
@@ -25,10 +28,14 @@ def _axis_sql(axis: T.Axis, c: str, near: str, far: str) -> str:
     inner = f"greatest(0, size - {step} - {lead})"
     trail = f"CASE WHEN k = {xmax} - 1 AND {a.shared} > 0 THEN 0 WHEN k = {xmin} AND {a.shared} > 0 THEN least(size, {a.shared - a.origin}) ELSE {inner} END"
     return f"""{c} AS (SELECT k, k - {xmin} AS i, {xmax} - {xmin} AS n, p0 + {a.start} AS pos, size, CASE WHEN k = {xmin} AND {a.shared} > 0 THEN 0 ELSE {lead} END AS {near}, {trail} AS {far}
-      FROM (SELECT k, greatest({raw}, 0) AS p0, least({raw} + {a.tile}, {a.stop - a.start}) - greatest({raw}, 0) AS size FROM range({xmin}, {xmax}) t(k)))"""
+      FROM (SELECT k, greatest({raw}, 0) AS p0, least({raw} + {a.tile}, {a.stop} - {a.start}) - greatest({raw}, 0) AS size FROM range({xmin}, {xmax}) t(k)))"""
 
 
-def grid_sql(x: T.Axis, y: T.Axis) -> str:
+def grid_sql(x: T.Axis, y: T.Axis, height: str | None = None) -> str:
+    """The grid in SQL; ``height``: an expression for the size of the second axis."""
+    if height:
+        whole = grid_sql(x, T.Axis(987654, y.tile, y.overlap, edges=y.edges))
+        return whole.replace("987654", height)
     return f"""WITH {_axis_sql(x, "ax", "l", "r")}, {_axis_sql(y, "ay", "t", "b")}
       SELECT ax.i + ay.i * ax.n AS position, ax.k AS level_x, ay.k AS level_y, ax.pos AS x, ay.pos AS y, ax.size AS width, ay.size AS height,
              ax.l AS overlap_left, ax.r AS overlap_right, ay.t AS overlap_top, ay.b AS overlap_bottom,
@@ -69,34 +76,39 @@ def single_tile(spark, sf_dir):
 
 
 def _tile_join(x: T.Axis, y: T.Axis) -> str:
-    return V.with_views("mosaic") + f", g AS ({grid_sql(x, y)}), p AS (SELECT g.*, m.x AS px, m.y AS py, m.value FROM g JOIN mosaic m ON m.x >= g.x AND m.x < g.x + g.width AND m.y >= g.y AND m.y < g.y + g.height) "
+    return V.with_views("mosaic") + f", g AS ({grid_sql(x, y, V.HEIGHT_SQL)}), p AS (SELECT g.*, m.x AS px, m.y AS py, m.value FROM g JOIN mosaic m ON m.x >= g.x AND m.x < g.x + g.width AND m.y >= g.y AND m.y < g.y + g.height) "
+
+
+def _whole(spark, sf_dir, axes: tuple[T.Axis, T.Axis]) -> tuple[T.Axis, T.Axis]:
+    """The axes with the height of the table's raster."""
+    return axes[0], replace(axes[1], size=V.height(spark, sf_dir))
 
 
 @query(_tile_join(*OVERLAP) + "SELECT position, round(avg(value), 9) AS mean, count(*)::BIGINT AS pixels FROM p GROUP BY position")
 def tile_mean(spark, sf_dir):
     """Mean of each tile; pixels in shared margins count in every tile that has them."""
-    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *OVERLAP)
+    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *_whole(spark, sf_dir, OVERLAP))
     return p.groupBy("position").agg(F.round(F.avg("value"), 9).alias("mean"), F.count("*").alias("pixels"))
 
 
 @query(_tile_join(*PLAIN) + "SELECT round(sum(m * n) / sum(n), 9) AS mean FROM (SELECT position, avg(value) AS m, count(*) AS n FROM p GROUP BY position)")
 def overall_mean(spark, sf_dir):
     """Tile means weighted by tile size."""
-    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *PLAIN).groupBy("position").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
+    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *_whole(spark, sf_dir, PLAIN)).groupBy("position").agg(F.avg("value").alias("m"), F.count("*").alias("n"))
     return p.agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 9).alias("mean"))
 
 
 @query(_tile_join(*OVERLAP) + "SELECT position, sum(value::BIGINT * value)::BIGINT AS sumsq, count(*)::BIGINT AS pixels FROM p WHERE px >= x + overlap_left AND px < x + width - overlap_right AND py >= y + overlap_top AND py < y + height - overlap_bottom GROUP BY position")
 def tile_sumsq(spark, sf_dir):
     """Sum of squares of each tile without its shared margins."""
-    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *OVERLAP, keep_overlap=False)
+    p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), *_whole(spark, sf_dir, OVERLAP), keep_overlap=False)
     return p.groupBy("position").agg(F.sum(F.col("value").cast("long") * F.col("value")).alias("sumsq"), F.count("*").alias("pixels"))
 
 
 @query(_tile_join(T.Axis(W, 48), T.Axis(H, 48)) + "SELECT position, (px - x)::BIGINT AS tx, (py - y)::BIGINT AS ty, value FROM p")
 def retile(spark, sf_dir):
     """Native 8x8 tiles cut anew into 48x48 ones."""
-    x, y = T.Axis(W, 48), T.Axis(H, 48)
+    x, y = _whole(spark, sf_dir, (T.Axis(W, 48), T.Axis(H, 48)))
     p = T.pixels_in_tiles(V.mosaic(spark, sf_dir), x, y)
     return p.select("position", (F.col("x") - F.col("position") % x.count * 48).cast("long").alias("tx"), (F.col("y") - F.expr(f"position div {x.count}") * 48).cast("long").alias("ty"), "value")
 

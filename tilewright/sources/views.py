@@ -31,6 +31,12 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(x.alias("x"), y.alias("y"), "value")
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of pixels of mosaic(), from the table's greatest vector."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return 0 if last is None else (last // ACROSS + 1) * TILE
+
+
 def mosaic3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """band, x, y, value: the vectors, three to a tile, as a three-band raster, 13 tiles across.
     One or two vectors at the end that make no whole tile are left out."""
@@ -90,10 +96,12 @@ def folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALUE = "CAST(floor((CAST(embedding[d + 1] AS DOUBLE) + 1) * 127.5) AS INTEGER)"
 XY = f"vec_id % {ACROSS} * {TILE} + d % {TILE} AS x, vec_id // {ACROSS} * {TILE} + d // {TILE} AS y"
 
+HEIGHT_SQL = f"(((SELECT max(vec_id) FROM embeddings) // {ACROSS} + 1) * {TILE})"
+
 #: The same views in DuckDB's SQL.
 SQL = {
     "mosaic": f"SELECT {XY}, {VALUE} AS value FROM embeddings, range(64) t(d)",
-    "mosaic3": f"SELECT vec_id % 3 AS band, vec_id // 3 % {ACROSS3} * {TILE} + d % {TILE} AS x, vec_id // 3 // {ACROSS3} * {TILE} + d // {TILE} AS y, {VALUE} AS value FROM embeddings, range(64) t(d) WHERE vec_id < 498",
+    "mosaic3": f"SELECT vec_id % 3 AS band, vec_id // 3 % {ACROSS3} * {TILE} + d % {TILE} AS x, vec_id // 3 // {ACROSS3} * {TILE} + d // {TILE} AS y, {VALUE} AS value FROM embeddings, range(64) t(d) WHERE vec_id < (SELECT count(*) // 3 * 3 FROM embeddings)",
     "frames": f"SELECT label AS frame, {XY}, {VALUE} AS value FROM embeddings, range(64) t(d)",
     "element": """SELECT o_custkey AS annotation, o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'rectangle' WHEN 'F' THEN 'circle' ELSE 'point' END AS type,
         o_orderpriority AS grp, CAST(o_orderkey % 1000 * 10 AS DOUBLE) AS cx, CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS DOUBLE) AS cy,
