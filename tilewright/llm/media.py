@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,7 +185,7 @@ def _store(schema: pa.Schema, files: bool):
         mu, al = mu_law_table(), a_law_table()
         for batch in batches:
             contents = batch.column("content").cast(pa.binary())
-            sizes = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(contents), 0).to_numpy().astype(np.int64) + BLOCK)))
+            sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(contents), 0).to_numpy().astype(np.int64) + BLOCK)))
             for at, stop in row_slices(sizes, 2 << 20):
                 part = batch.slice(at, stop - at)
                 out: dict[str, list] = {k: [] for k in schema.names if k != "doc_id"}

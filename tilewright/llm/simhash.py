@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,7 +265,7 @@ def _link(distance: int):
     def run(table: pa.Table) -> pa.Table:
         kinds = {}
         for kind in (INDEX, PROBE, NEIGHBOUR):
-            own = table.filter(pa.compute.equal(table["kind"], kind))
+            own = table.filter(pc.equal(table["kind"], kind))
             kinds[kind] = tuple(np.frombuffer(b"".join(own[c].to_pylist()), np.uint64) for c in ("keys", "fps"))
         found = list(verified(*kinds[INDEX], *kinds[PROBE], distance))
         found.append(star_links(*kinds[NEIGHBOUR]))

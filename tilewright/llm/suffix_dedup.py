@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -150,8 +151,8 @@ def _answer_shared(n: int):
     """A key that two texts have goes back to all of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pa.compute.equal(table["kind"], 1)).to_pylist()]
-        asked = table.filter(pa.compute.equal(table["kind"], 0))
+        out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
+        asked = table.filter(pc.equal(table["kind"], 0))
         if len(asked):
             key = _unpack48(b"".join(asked["keys"].to_pylist()))
             uid = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.int64)
@@ -178,7 +179,7 @@ def _passages(length: int, piece: int):
         keys = _unpack48(b"".join(replies["keys"].to_pylist()))
         asked = np.unique(ids)
         pair = np.unique(mix(ids.view(np.uint64)) ^ mix(keys + np.uint64(1)))
-        docs = docs.filter(pa.compute.is_in(docs["uid"], value_set=pa.array(asked)))
+        docs = docs.filter(pc.is_in(docs["uid"], value_set=pa.array(asked)))
         out = []
         data, offsets = utf8(docs["text"])
         uid, rank, b2 = (docs[c].to_numpy() for c in ("uid", "rank", "b2"))
@@ -265,8 +266,8 @@ def _answer_contexts(n: int, hot: int):
     hash to every document that asked about it; hashes with ``hot`` contexts are named."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pa.compute.equal(table["kind"], 1)).to_pylist()]
-        asked = table.filter(pa.compute.equal(table["kind"], 0))
+        out = [{"b2": r["bucket"], "ids": r["ids"], "keys": r["keys"]} for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
+        asked = table.filter(pc.equal(table["kind"], 0))
         if len(asked):
             key = np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64)
             u, r = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.int64).reshape(-1, 2).T
@@ -276,7 +277,7 @@ def _answer_contexts(n: int, hot: int):
             later = r > np.repeat(r[edge], np.diff(np.append(edge, len(key))))
             for b, k, us in X.split_by(X.row_buckets(u[later], n), key[later], u[later]):
                 out.append({"b2": b, "ids": us.tobytes(), "keys": k.tobytes()})
-        asked = table.filter(pa.compute.equal(table["kind"], 2))
+        asked = table.filter(pc.equal(table["kind"], 2))
         if len(asked):
             v = np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64)
             u, c = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.uint64).reshape(-1, 2).T
@@ -385,8 +386,8 @@ def _match(n: int, length: int):
     """Step 3: the blocks of suffixes."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [{"b2": r["bucket"], "ids": r["ids"], "spans": r["spans"]} for r in table.filter(pa.compute.equal(table["kind"], 1)).to_pylist()]
-        asked = table.filter(pa.compute.equal(table["kind"], 0))
+        out = [{"b2": r["bucket"], "ids": r["ids"], "spans": r["spans"]} for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
+        asked = table.filter(pc.equal(table["kind"], 0))
         if len(asked):
             u, r = np.frombuffer(b"".join(asked["ids"].to_pylist()), np.int64).reshape(-1, 2).T
             s, size = np.frombuffer(b"".join(asked["spans"].to_pylist()), np.int64).reshape(-1, 2).T
