@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.storage import discard, materialize
 
 ROUNDS = 60
+#: Links that a task contracts at once.
+CHUNK = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,13 +38,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[other], names[label[other]]
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links with the same components as the task's, without those that others imply."""
+
+    def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("a", "b"))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(a, b)], names=["a", "b"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= CHUNK:
+            yield part(held)
+            held, rows = [], 0
+    if rows:
+        yield part(held)
+
+
 def connect(links: DataFrame) -> DataFrame:
     """node, root for each node of the links a-b; root is the smallest node reachable.
 
+    Each task first contracts the links it reads to stars, which leaves fewer links and rounds.
     Each round is two shuffles of at most one link for each node and neighbour; it ends
     when the links are stars.  Every round is written to the shared folder.
     """
-    now = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = links.where("a != b").select("a", "b").mapInArrow(_contract, "a long, b long")
+    now = materialize(links.distinct(), "links")
     for _ in range(ROUNDS):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # Minima are written before they are joined: Spark then splits the links of a hub.
