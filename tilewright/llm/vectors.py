@@ -50,7 +50,21 @@ def row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+#: Powers that are kept for the next call, for each base.
+KEPT_POWERS = 1 << 21
+_kept: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, not to be written to; the first ones are computed once a process."""
+    if n <= KEPT_POWERS:
+        if len(_kept.get(base, ())) < n:
+            _kept[base] = _powers(base, min(KEPT_POWERS, max(2 * n, 1 << 16)))
+        return _kept[base][:max(n, 1)]
+    return _powers(base, n)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.ones(max(n, 1), U64)
     have = 1
