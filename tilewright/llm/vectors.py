@@ -51,7 +51,9 @@ def row_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 #: Powers that are kept for the next call, for each base.
-KEPT_POWERS = 1 << 21
+KEPT_POWERS = 1 << 20
+#: Bytes of text whose spans are hashed at once.
+SPAN_PIECE = 1 << 18
 _kept: dict[int, np.ndarray] = {}
 
 
@@ -76,12 +78,28 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span data[start:end]; equal spans, equal hashes."""
-    prefix = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=prefix[1:])
-    shift = powers(BASE_INV, len(data) + 1)
-    h = (prefix[ends] - prefix[starts]) * shift[starts]
-    return mix(h ^ (mix((ends - starts).astype(U64) + U64(1))))
+    """64-bit hash of each byte span data[start:end]; equal spans, equal hashes.
+
+    A hash doesn't depend on the span's place, so spans in order are hashed some at a time: a very
+    long text needs no more memory than the spans of a piece of it.
+    """
+    out = np.zeros(len(starts), U64)
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out[order] = span_hashes(data, starts[order], ends[order])
+        return out
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + SPAN_PIECE, "left")))
+        piece = data[low : int(ends[i:j].max())]
+        prefix = np.zeros(len(piece) + 1, U64)
+        np.cumsum(BYTE_VALUES[piece] * powers(BASE, len(piece)), out=prefix[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        h = (prefix[e] - prefix[s]) * powers(BASE_INV, len(piece) + 1)[s]
+        out[i:j] = mix(h ^ (mix((e - s).astype(U64) + U64(1))))
+        i = j
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
