@@ -84,7 +84,7 @@ def connect(links: DataFrame) -> DataFrame:
         after = materialize(small, "links")
         for done in (least, large, low):
             discard(done)
-        # A set of links is told from others by its size and two sums over 64-bit hashes of its links.
+        # A set of links is told from others by its size and two 64-bit sums over hashes of its links.
         mark, last = _mark(after), mark
         discard(now)
         now = after
