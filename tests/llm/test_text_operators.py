@@ -716,3 +716,30 @@ def test_empty_tables(spark, empty):
     assert media.store_media(empty).count() == 0 and packing.pack_documents(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_pages(pages).count() == 0
+
+
+def test_smallest_pieces_need_little_memory_and_texts_come_in_small_batches(spark):
+    import tracemalloc
+
+    from tilewright.llm import storage, suffix_dedup
+
+    data = np.random.default_rng(4).integers(97, 101, 1_500_000).astype(np.uint8)
+    tracemalloc.start()
+    got = suffix_dedup.smallest_pieces(data, 50, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * got.nbytes
+    edge = [0, *(k * suffix_dedup.PIECE_STARTS + d for k in (1, 2) for d in (-1, 0)), len(got) - 1]
+    assert all(got[i] == suffix_dedup.smallest_pieces(data[i : i + 50], 50, 20)[0] for i in edge)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [len(batch)]})
+
+    before = spark.conf.get(storage.BATCH_ROWS)
+    with storage.text_batches(spark):
+        rows = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "id long").collect()
+    assert max(r.id for r in rows) <= storage.TEXT_ROWS
+    assert spark.conf.get(storage.BATCH_ROWS) == before

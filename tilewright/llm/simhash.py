@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm import exchange as X
 from tilewright.llm.components import connect, forest, smallest_of_component
-from tilewright.llm.storage import materialize
+from tilewright.llm.storage import materialize, text_batches
 from tilewright.llm.vectors import LOWER, mix, ranges
 
 DISTANCE = 2
@@ -319,7 +319,8 @@ def make_plan(nodes: DataFrame, distance: int = DISTANCE) -> Plan:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    with text_batches(docs.sparkSession):
+        prints = materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     plan = make_plan(nodes.select("fp"), distance)
     n_buckets = max(48, plan.n // 50_000 + 1)

@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tilewright.llm import exchange as X
-from tilewright.llm.storage import discard, materialize, release
+from tilewright.llm.storage import discard, materialize, release, text_batches
 from tilewright.llm.vectors import BASE, BYTE_VALUES, mix, nearest_smaller, ranges, row_slices, span_hashes, utf8
 
 LENGTH = 50
@@ -59,8 +59,21 @@ PASSAGE = "b2 long, uid long, rank long, start long, bytes binary"
 PASSAGE_PA = pa.schema([("b2", pa.int64()), ("uid", pa.int64()), ("rank", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
+#: Starts whose pieces are hashed at once, so that the tables of hashes stay small.
+PIECE_STARTS = 1 << 17
+
+
 def smallest_pieces(data: np.ndarray, length: int, piece: int) -> np.ndarray:
     """For each start of a ``length``-byte string the smallest hash of its pieces."""
+    n = len(data) - length + 1
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, PIECE_STARTS):
+        j = min(i + PIECE_STARTS, n)
+        out[i:j] = _smallest_pieces(data[i : j + length - 1], length, piece)
+    return out
+
+
+def _smallest_pieces(data: np.ndarray, length: int, piece: int) -> np.ndarray:
     m = 1 << 64
     have, width, parts = {1: BYTE_VALUES[data]}, 1, []
     while width * 2 <= piece:
@@ -482,7 +495,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = base.withColumn("b2", X.row_bucket_column("uid", n))
 
     alone = X.once(rows.where(F.octet_length("text") >= length).join(copies.select("uid"), "uid", "left_anti").select("b2", "uid", "rank", "text"), again)
-    shared = materialize(alone.select("uid", "text").mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared", large=True)
+    with text_batches(docs.sparkSession):
+        shared = materialize(alone.select("uid", "text").mapInArrow(_ask_shared(n, length, piece), MAPPED).groupBy("bucket").applyInArrow(_answer_shared(n), REPLY), "shared", large=True)
     passages = materialize(
         alone.groupBy("b2").cogroup(shared.groupBy("b2")).applyInArrow(_passages(length, piece), PASSAGE), "passages", large=True
     )
