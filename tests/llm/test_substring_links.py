@@ -170,3 +170,34 @@ def test_sketches_rule_out_no_shared_passage():
             assert [(a + first[1], b + first[1]) for a, b in cut] == parts
         else:
             assert not parts
+
+
+def test_edited_copies_under_crowded_keys_are_linked(spark):
+    """Pairs of edited copies that only crowded keys name, and no leader is like."""
+    rng = np.random.default_rng(31)
+    common = [words(rng, 12) for _ in range(3)]
+    texts = []
+    for _ in range(40):
+        own = [w for c in common for w in (*c, *words(rng, 8))]
+        other = list(own)
+        other[37] = "edit"
+        texts += [" ".join(own), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    h, offsets = substring.shingles(*utf8(pa.array(texts)))
+    rows = [h[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
+    near = {k for k in range(1, len(texts), 2) if substring.aligned(rows[k], rows[k - 1])}
+    assert len(near) == 40
+    got = {r.doc_id: r for r in substring.near_passages(docs, classes=0, leaders=0).collect()}
+    for k in range(len(texts)):
+        assert got[k].component_id == k - (k in near), k
+        assert (got[k].n_passages, got[k].first_id) == ((1, k - 1) if k in near else (0, None)), k
+
+
+def test_the_rarest_places_meet_what_is_shared():
+    rng = np.random.default_rng(5)
+    count = rng.integers(1, 50, 200)
+    chosen = substring.rarest(count, np.array([0, 90, 100, 200]))
+    for i in [*range(45), *range(100, 155)]:
+        assert np.sort(count[i : i + 46])[:6].max() <= np.sort(count[i : i + 46][chosen[i : i + 46]])[:6].max()
+        assert chosen[i : i + 46].sum() >= 6
+    assert not chosen[90:100].any()

@@ -24,9 +24,13 @@ about two for 46 shingles.
 5. Under crowded keys every passage of 50 words is looked up by the hash of its content, so that
    its repeats are found however many there are; edited ones are compared with the ``LEADERS`` first regions
    and with the partners that their other keys name.
+6. What is left is pairs whose keys are crowded under every function that agrees.  Stretches with four crowded
+   functions are joined without a bound, by prefixes: near-duplicates differ in five of 46 shingles at most, so one of
+   the six rarest of each passage stands in the partner as well.  Each of these is compared with the first region of every class
+   that holds it, but for those of its own component where it is known to be shared already.
 
-So exact repeats of 50 words are all found; a near-duplicate is missed if the hashes of fewer than four
-functions agree, or if all that agree are crowded and no leader is like it.
+So exact repeats of 50 words are all found; a near-duplicate is missed only if the hashes of fewer than four
+functions agree.
 
 Copies of a whole text are linked to the first one directly.  Chains of links make the
 components.  Null texts are empty and have no links; texts of less than 50 words have no passages and are linked to their copies only;
@@ -241,6 +245,10 @@ GROUPS_PA = pa.schema([("b2", pa.int64()), ("keys", pa.binary()), ("sizes", pa.b
 NONE, COPIES, CROWD = 0, 1, 2
 #: Entries that are expanded at once.
 STEP = 2 << 20
+#: Cells in which the shingles of crowded stretches are counted, and the parts these travel in.
+CELLS, CELL_PARTS = 1 << 18, 16
+#: Pairs of crowded stretches that are expanded at once, of eleven numbers each.
+PAIR_STEP = 1 << 18
 
 
 def _region_windows(regions) -> tuple[np.ndarray, ...]:
@@ -296,7 +304,8 @@ def _held_keys(n: int, most: int = CLASSES):
 
 
 def _group_members(most: int = CLASSES, leaders: int = LEADERS):
-    """The partners that a key names, sent once to each row bucket that has a later document with it."""
+    """The partners that a key names, sent once to each row bucket that has a later document with it.  What
+    a crowded key doesn't name is left to the join of crowded stretches."""
 
     def run(table: pa.Table) -> pa.Table:
         first, asks = (table.filter(pc.equal(table["kind"], k)) for k in (FIRST_OF_CLASS, ASKS))
@@ -314,7 +323,8 @@ def _group_members(most: int = CLASSES, leaders: int = LEADERS):
         last = np.concatenate(((asked[1:] != asked[:-1]) | (home[1:] != home[:-1]), [True])) if len(asked) else np.zeros(0, bool)
         asked, home, rank = asked[last], home[last], rank[last]
         group = np.searchsorted(key[edge], asked)
-        ask = rank > ids[edge[group], 1] if len(asked) else last
+        # A crowded key is told to all its holders, as the first ones are partners in the crowd too.
+        ask = (rank > ids[edge[group], 1]) | (hides[group] == CROWD) if len(asked) else last
         home, group = home[ask], group[ask]
         out = []
         total = np.cumsum(size[group])
@@ -334,6 +344,8 @@ CANDIDATES_PA = pa.schema([("kind", pa.int32()), ("b2", pa.int64()), ("puid", pa
 #: A partner's asks, passages to look up by content (hash, uid, rank, place), ones that are found (uid, place, partner, its
 #: rank), and pairs for the second turn (uid, start, first, last, first and last place that must be shared, partner, its start).
 COMPARE, LOOK_UP, FOUND_HERE, LATER = 0, 1, 2, 3
+#: A crowded stretch: (rank, its place in the region, its shingles).
+CROWDED = 4
 PAIR = ("uid", "start", "first", "last", "low", "high", "puid", "pstart")
 
 
@@ -369,6 +381,12 @@ def _candidates(n: int, enough: int = ENOUGH):
         also = _crowded_functions(row, function, a, b, hidden != NONE, offsets)
         b2 = regions["b2"][0].as_py()
         out = _look_up(h, uid, rank, start, offsets, row, a, b, (hidden == CROWD) & (function == 0), n, b2)
+        crowd = hidden == CROWD
+        who, s, e = covered_runs(row[crowd], function[crowd], a[crowd], b[crowd], enough)
+        # With a passage more on both sides, as a partner's window may be wider.
+        who, s, e = merge_spans(who, np.maximum(offsets[who], s - LEAST), np.minimum(offsets[who + 1], e + 2 * LEAST))
+        for r, x, y in zip(who.tolist(), s.tolist(), e.tolist(), strict=True):
+            out.append({"kind": CROWDED, "b2": b2, "puid": uid[r], "pstart": start[r], "asks": np.array([rank[r], x - offsets[r]]).tobytes() + h[x:y].tobytes()})
         hit = np.flatnonzero(told)
         hit = hit[np.argsort(row[hit], kind="stable")]
         spot = spot[hit]
@@ -450,14 +468,143 @@ def _not_yet(pairs: pa.Table, found: pa.Table) -> pa.Table:
     ok = at >= 0
     known[ok] = (own[at[ok]] == asked[ok]) & (last[at[ok]] >= high[ok])
     todo = ~(known & cols["same"].astype(bool))
-    rows = np.stack([cols[c][todo] for c in ("puid", "pstart", "uid", "start", "first", "last")], 1)
+    return _by_partner(cols["b2"][0], np.stack([cols[c][todo] for c in ("puid", "pstart", "uid", "start", "first", "last")], 1))
+
+
+def _by_partner(b2: int, rows: np.ndarray) -> pa.Table:
+    """The asks of a bucket, rows of (partner, its start, uid, start, first, last), for each partner."""
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows = rows[order]
     edge = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1)))) if len(rows) else []
-    out = [{"kind": COMPARE, "b2": cols["b2"][0], "puid": part[0, 0], "pstart": part[0, 1], "asks": part[:, 2:].tobytes()} for part in np.split(rows, edge[1:])] if len(rows) else []
+    out = [{"kind": COMPARE, "b2": b2, "puid": part[0, 0], "pstart": part[0, 1], "asks": part[:, 2:].tobytes()} for part in np.split(rows, edge[1:])] if len(rows) else []
     return pa.Table.from_pylist(out, schema=CANDIDATES_PA)
 
 
+def _stretches(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last + 1, heads, shingles, offsets) of a column of crowded stretches, some rows at a time."""
+    asks = column.to_pylist()
+    for i, j in row_slices(np.concatenate(([0], np.cumsum([len(x) for x in asks]))), STEP):
+        heads = np.array([np.frombuffer(x, np.int64, 2) for x in asks[i:j]])
+        yield i, j, heads, np.frombuffer(b"".join(x[16:] for x in asks[i:j]), np.uint64), np.concatenate(([0], np.cumsum([len(x) // 8 - 2 for x in asks[i:j]])))
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CELLS)).astype(np.int64)
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of crowded stretches fall into each cell."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for _, _, _, h, _ in _stretches(batch.column("asks")):
+            total += np.bincount(_cells(h), minlength=CELLS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELL_PARTS)), pa.array([x.tobytes() for x in np.split(total, CELL_PARTS)], pa.binary())], names=["part", "cells"])
+
+
+def _add_cells(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table["cells"].to_pylist())
+    return pa.table({"part": table["part"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
+
+
+def rarest(count: np.ndarray, offsets: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> np.ndarray:
+    """The places that are among the rarest of some passage, as many for each as near-duplicates may differ in and one more."""
+    some = least - needed(least, similarity) + 1
+    chosen = np.zeros(len(count), bool)
+    at = np.flatnonzero(window_starts(offsets, least)[0])
+    for begin in range(0, len(at), WINDOW_SLICE):
+        first = at[begin : begin + WINDOW_SLICE, None]
+        window = count[first + np.arange(least)]
+        chosen[(first + np.argpartition(window, some - 1, 1)[:, :some]).ravel()] = True
+    return chosen
+
+
+HOLDS, PROBES = 0, 1
+
+
+def _crowd_keys(n: int, counts: np.ndarray):
+    """Every shingle of a crowded stretch with its surroundings (kind HOLDS), and the rarest of its passages, which ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, start, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "start", "root"))
+            spans = batch.column("spans").to_pylist()
+            for i, j, heads, h, offsets in _stretches(batch.column("asks")):
+                size = np.diff(offsets)
+                row, place = np.repeat(np.arange(j - i), size), ranges(np.zeros(j - i, np.int64), size)
+                low, high = np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, size[row])
+                ids = np.stack((uid[i:j], heads[:, 0], start[i:j], root[i:j]), 1)
+                count = counts[_cells(h)]
+                several = np.flatnonzero(count > 1)  # what stands once has no partner
+                base = offsets[row[several]]
+                cls = stretch_hashes(h, base + low[several], base + high[several])
+                order = np.lexsort((ids[row[several], 1], cls, h[several]))
+                several, cls = several[order], cls[order]
+                fresh = np.concatenate(([True], (h[several][1:] != h[several][:-1]) | (cls[1:] != cls[:-1])))[: len(order)]
+                several, cls = several[fresh], cls[fresh]
+                out = [{"bucket": b, "kind": HOLDS, "keys": k.tobytes(), "classes": c.tobytes(), "ids": x.tobytes()} for b, k, c, x in X.split_by((mix(h[several]) % np.uint64(n)).astype(np.int64), h[several], cls, ids[row[several]])]
+                at = np.flatnonzero(rarest(count, offsets) & (count > 1))
+                r = row[at]
+                first, last = heads[r, 1] + low[at], heads[r, 1] + high[at]  # in the region
+                covered = np.array([any(s <= x and y <= e for s, e in np.frombuffer(spans[i + k] or b"", np.int64).reshape(-1, 2).tolist()) for k, x, y in zip(r.tolist(), (start[i:j][r] + first).tolist(), (start[i:j][r] + last).tolist(), strict=True)], np.int64)
+                asks = np.concatenate((ids[r], np.stack((first, last, covered), 1)), 1)
+                out += [{"bucket": b, "kind": PROBES, "keys": k.tobytes(), "ids": x.tobytes()} for b, k, x in X.split_by((mix(h[at]) % np.uint64(n)).astype(np.int64), h[at], asks)]
+                yield X.blobs(out, HELD_PA)
+
+    return run
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Rows of (partner, its start, uid, start, first, last) with the stretches of a pair merged."""
+    if not len(rows):
+        return rows
+    pair, code = np.unique(rows[:, :4], axis=0, return_inverse=True)
+    who, first, last = merge_spans(code.ravel(), rows[:, 4], rows[:, 5])
+    return np.concatenate((pair[who], first[:, None], last[:, None]), 1)
+
+
+def _crowd_pairs(n: int):
+    """The pairs of a bucket's shingles that are still to be compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        holds, probes = (table.filter(pc.equal(table["kind"], k)) for k in (HOLDS, PROBES))
+        key, cls = (np.frombuffer(b"".join(holds[c].to_pylist()), np.uint64) for c in ("keys", "classes"))
+        ids = np.frombuffer(b"".join(holds["ids"].to_pylist()), np.int64).reshape(-1, 4)
+        order = np.lexsort((ids[:, 2], ids[:, 0], ids[:, 1], cls, key))
+        key, cls, ids = key[order], cls[order], ids[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))[: len(key)]
+        key, ids = key[fresh], ids[fresh]
+        asked = np.frombuffer(b"".join(probes["keys"].to_pylist()), np.uint64)
+        asks = np.frombuffer(b"".join(probes["ids"].to_pylist()), np.int64).reshape(-1, 7)
+        # By key, then component: the holders of other components stand before and after an ask's own.
+        roots = np.unique(np.concatenate((ids[:, 3], asks[:, 3])))
+        keys = np.unique(np.concatenate((key, asked)))
+        group, own = np.searchsorted(keys, key), np.searchsorted(keys, asked)
+        lane, mine = group * len(roots) + np.searchsorted(roots, ids[:, 3]), own * len(roots) + np.searchsorted(roots, asks[:, 3])
+        order = np.argsort(lane, kind="stable")
+        group, lane, ids = group[order], lane[order], ids[order]
+        begin, stop = np.searchsorted(group, own, "left"), np.searchsorted(group, own, "right")
+        known = asks[:, 6] > 0
+        left = np.where(known, np.searchsorted(lane, mine, "left"), stop)
+        right = np.where(known, np.searchsorted(lane, mine, "right"), stop)
+        who = np.concatenate((np.arange(len(asks)), np.arange(len(asks))))
+        at, size = np.concatenate((begin, right)), np.concatenate((left - begin, stop - right))
+        out = []
+        for i, j in row_slices(np.concatenate(([0], np.cumsum(size))), PAIR_STEP):
+            x, y = asks[np.repeat(who[i:j], size[i:j])], ids[ranges(at[i:j], size[i:j])]
+            earlier = y[:, 1] < x[:, 1]
+            rows = _merged(np.concatenate((y[:, [0, 2]], x[:, [0, 2, 4, 5]]), 1)[earlier])
+            out += [{"kind": LATER, "b2": b, "asks": part.tobytes()} for b, part in X.split_by(X.row_buckets(np.ascontiguousarray(rows[:, 2]), n), rows)]
+        return pa.Table.from_pylist(out, schema=CANDIDATES_PA)
+
+    return run
+
+
+def _crowd_asks(table: pa.Table) -> pa.Table:
+    """A bucket's pairs from all shingles, each once."""
+    rows = np.frombuffer(b"".join(table["asks"].to_pylist()), np.int64).reshape(-1, 6)
+    return _by_partner(table["b2"][0].as_py(), _merged(rows))
+
+
 def needed(least: int = LEAST, similarity: float = SIMILARITY) -> int:
     """How many shingles two stretches of ``least`` must share: with k the overlap is k / (2 * least - k) at most."""
     return int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9))
@@ -739,21 +886,42 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     todo = materialize(todo, "todo", large=True)
     # Most pairs of the second turn only share less than a passage: sketches tell, a quarter of the shingles' size.
     sketches = regions.select(F.col("uid").alias("puid"), F.col("start").alias("pstart"), F.col("sketch").alias("theirs"))
-    asked = todo.join(sketches, ["puid", "pstart"]).select("b2", "puid", "pstart", "theirs", "asks")
-    possible = regions.select("b2", "uid", "start", "sketch").groupBy("b2").cogroup(asked.groupBy("b2")).applyInArrow(_possible, CANDIDATES)
-    possible = materialize(possible, "possible", large=True)
-    discard(todo)
-    before = shared.select(F.lit(LATER).alias("kind"), "b2", F.col("uid").alias("puid"), F.col("least").alias("prank"), null("binary").alias("theirs"), F.col("spans").alias("asks"))
-    found = compared(possible, before, "second_turn")
-    discard(possible)
+
+    def sifted(todo: DataFrame, shared: DataFrame, name: str) -> DataFrame:
+        """The asks that the sketches leave are compared; with what is shared already."""
+        asked = todo.join(sketches, ["puid", "pstart"]).select("b2", "puid", "pstart", "theirs", "asks")
+        possible = regions.select("b2", "uid", "start", "sketch").groupBy("b2").cogroup(asked.groupBy("b2")).applyInArrow(_possible, CANDIDATES)
+        possible = materialize(possible, "possible", large=True)
+        discard(todo)
+        before = shared.select(F.lit(LATER).alias("kind"), "b2", F.col("uid").alias("puid"), F.col("least").alias("prank"), null("binary").alias("theirs"), F.col("spans").alias("asks"))
+        found = compared(possible, before, name)
+        discard(possible)
+        return found
+
+    def linked(found: DataFrame, roots: DataFrame) -> DataFrame:
+        """Components: the links of the turns before are the stars of theirs by now."""
+        links = found.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b"))
+        return connect(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    found = sifted(todo, shared, "second_turn")
+    roots = linked(found, roots)
+    # What only crowded keys hold, if there is any.
+    crowd = candidates.where(f"kind = {CROWDED}").select(F.col("puid").alias("uid"), F.col("pstart").alias("start"), "asks")
+    if not crowd.isEmpty():
+        counts = crowd.select("asks").mapInArrow(_count_cells, "part long, cells binary").groupBy("part").applyInArrow(_add_cells, "part long, cells binary")
+        # 2 MB, whatever the input.
+        counts = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in sorted(counts.collect(), key=lambda r: r["part"])])
+        crowd = crowd.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        crowd = crowd.join(found.where("other IS NULL").select("uid", "spans"), "uid", "left")
+        pairs = crowd.mapInArrow(_crowd_keys(n, counts), HELD).groupBy("bucket").applyInArrow(_crowd_pairs(n), CANDIDATES)
+        todo = materialize(pairs.groupBy("b2").applyInArrow(_crowd_asks, CANDIDATES), "todo", large=True)
+        shared = found.where("other IS NULL").withColumn("b2", X.row_bucket_column("uid", n))
+        found = sifted(todo, shared, "third_turn")
+        roots = linked(found, roots)
     discard(candidates)
     discard(regions)
 
-    # The first turn's links are the stars of its components by now.
-    links = found.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b"))
-    links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     own = found.where("other IS NULL").select("uid", "n_passages", "n_dup_words", F.col("least").alias("first_partner"))
-    roots = connect(links)
     ranks = who.select("uid", "rank").distinct()
     named = smallest_of_component(roots, ranks, "uid", "rank").withColumnRenamed("node", "uid")
     facts = named.withColumnRenamed("least", "smallest").join(own, "uid", "left")
