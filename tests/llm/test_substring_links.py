@@ -201,3 +201,61 @@ def test_the_rarest_places_meet_what_is_shared():
         assert np.sort(count[i : i + 46])[:6].max() <= np.sort(count[i : i + 46][chosen[i : i + 46]])[:6].max()
         assert chosen[i : i + 46].sum() >= 6
     assert not chosen[90:100].any()
+
+
+def windows_of(y, reach=57):
+    from collections import Counter
+
+    return [Counter(y[a : a + reach]) for a in range(len(y))]
+
+
+def test_tokens_meet_what_is_shared_and_long_runs_meet_no_short_ones():
+    """Of the rarest tokens of a passage one is held by all that shares enough with it, repeated shingles counted."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    met = 0
+    for case in range(40):
+        x = rng.integers(0, (6, 40, 1000)[case % 3], 70).astype(np.uint64)
+        y = np.concatenate((rng.integers(0, 1000, 20).astype(np.uint64), x[: rng.integers(46, 70)], x[:10]))
+        y[rng.integers(0, len(y), rng.integers(0, 6))] = 7
+        offsets = np.array([0, len(x), len(x) + len(y)])
+        h = np.concatenate((x, y))
+        held, row, _ = substring.held_tokens(h, offsets)
+        assert len(held) == len(np.unique(np.stack((held, row.astype(np.uint64))), axis=1).T)
+        counts = np.bincount(substring._cells(held), minlength=substring.CELLS)
+        token, first = substring.asked_tokens(h, offsets, counts)
+        theirs = set(held[row == 1].tolist())
+        for i in range(len(x) - 45):
+            have = Counter(x[i : i + 46].tolist())
+            if any((have & w).total() >= 41 for w in windows_of(y.tolist())):
+                met += 1
+                assert theirs & set(token[first == i].tolist()), (case, i)
+    assert met > 200
+    # A word that stands 60 times asks nothing of texts that have it 20 times.
+    h, offsets = np.concatenate((np.full(60, 5), np.full(20, 5), np.arange(100, 140))).astype(np.uint64), np.array([0, 60, 120])
+    held, row, _ = substring.held_tokens(h, offsets)
+    assert ((row == 0).sum(), (row == 1).sum()) == (57, 60)
+    assert not len(substring.asked_tokens(h, offsets, np.bincount(substring._cells(held), minlength=substring.CELLS))[0])
+
+
+def test_a_crowd_of_runs_makes_few_pairs():
+    """Stretches that all have a run of one word, of different lengths, and words of their own: none is like another, and
+    the join names no pair, where each place of a run used to meet every place of all others."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(300):
+        h = np.concatenate((rng.integers(100, 1 << 60, 40), np.full(10 + k % 20, 5), rng.integers(100, 1 << 60, 40))).astype(np.uint64)
+        rows.append({"uid": k, "start": 0, "root": k, "spans": None, "asks": np.array([k, 0]).tobytes() + h.tobytes()})
+    schema = pa.schema([("uid", pa.int64()), ("start", pa.int64()), ("root", pa.int64()), ("spans", pa.binary()), ("asks", pa.binary())])
+    batches = pa.Table.from_pylist(rows, schema=schema).to_batches()
+    cells = next(iter(substring._count_cells(iter(batches)))).column("cells").to_pylist()
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in cells])
+    table = pa.Table.from_batches(list(substring._crowd_keys(1, counts)(iter(batches))))
+    assert not len(substring._crowd_pairs(1)(table))
+    # Copies are named, once for each.
+    rows.append(rows[3] | {"uid": 1000, "root": 1000, "asks": np.array([1000, 0]).tobytes() + rows[3]["asks"][16:]})
+    batches = pa.Table.from_pylist(rows, schema=schema).to_batches()
+    table = pa.Table.from_batches(list(substring._crowd_keys(1, counts + 1)(iter(batches))))
+    found = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in substring._crowd_pairs(1)(table)["asks"].to_pylist()])
+    assert (found[:, 2] == 1000).any() and [3, 0, 1000, 0, 0, 93] in found.tolist()

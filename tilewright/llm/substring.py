@@ -245,9 +245,11 @@ GROUPS_PA = pa.schema([("b2", pa.int64()), ("keys", pa.binary()), ("sizes", pa.b
 NONE, COPIES, CROWD = 0, 1, 2
 #: Entries that are expanded at once.
 STEP = 2 << 20
-#: Cells in which the shingles of crowded stretches are counted, and the parts these travel in.
+#: The longest window that may be a near-duplicate of a passage, in shingles.
+REACH = int(LEAST / SIMILARITY + 1e-9)
+#: Cells in which the tokens of crowded stretches are counted, and the parts these travel in.
 CELLS, CELL_PARTS = 1 << 18, 16
-#: Pairs of crowded stretches that are expanded at once, of eleven numbers each.
+#: Pairs of crowded stretches that are expanded at once.
 PAIR_STEP = 1 << 18
 
 
@@ -488,16 +490,36 @@ def _stretches(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.nd
         yield i, j, heads, np.frombuffer(b"".join(x[16:] for x in asks[i:j]), np.uint64), np.concatenate(([0], np.cumsum([len(x) // 8 - 2 for x in asks[i:j]])))
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(CELLS)).astype(np.int64)
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens % np.uint64(CELLS)).astype(np.int64)
+
+
+def _token(shingle: np.ndarray, number: np.ndarray | int) -> np.ndarray:
+    """The ``number``-th time that a passage has a shingle: multisets in common are sets of these in common."""
+    return mix(shingle + np.asarray(number).astype(np.uint64) * np.uint64(BASE))
+
+
+def held_tokens(h: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, row, class) of all that windows of ``reach`` shingles hold, each token of a row once.  The class is the content of
+    all windows with the shingle, from its first place in the row to its last."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.lexsort((h, row))
+    row, name = row[place], h[place]
+    edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (name[1:] != name[:-1])))) if len(h) else place
+    size = np.diff(np.append(edge, len(h)))
+    lane = np.repeat(np.arange(len(edge)), size) * (len(h) + reach) + place
+    most = np.maximum.reduceat(np.searchsorted(lane, lane + reach) - np.arange(len(h)), edge) if len(h) else size
+    row, name, first, last = row[edge], name[edge], place[edge], place[edge + size - 1]
+    cls = stretch_hashes(h, np.maximum(first - reach + 1, offsets[row]), np.minimum(last + reach, offsets[row + 1]))
+    return _token(np.repeat(name, most), ranges(np.ones(len(most), np.int64), most)), np.repeat(row, most), np.repeat(cls, most)
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of crowded stretches fall into each cell."""
+    """How many tokens of crowded stretches fall into each cell."""
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        for _, _, _, h, _ in _stretches(batch.column("asks")):
-            total += np.bincount(_cells(h), minlength=CELLS)
+        for _, _, _, h, offsets in _stretches(batch.column("asks")):
+            total += np.bincount(_cells(held_tokens(h, offsets)[0]), minlength=CELLS)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELL_PARTS)), pa.array([x.tobytes() for x in np.split(total, CELL_PARTS)], pa.binary())], names=["part", "cells"])
 
 
@@ -506,79 +528,146 @@ def _add_cells(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"][:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
 
+def _rarest_of(count: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Of each passage (a row) the rarest places, as many as near-duplicates may differ in and one more."""
+    some = count.shape[1] - needed(count.shape[1], similarity) + 1
+    return np.argpartition(count, some - 1, 1)[:, :some]
+
+
 def rarest(count: np.ndarray, offsets: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> np.ndarray:
-    """The places that are among the rarest of some passage, as many for each as near-duplicates may differ in and one more."""
-    some = least - needed(least, similarity) + 1
+    """The places that are among the rarest of some passage."""
     chosen = np.zeros(len(count), bool)
     at = np.flatnonzero(window_starts(offsets, least)[0])
     for begin in range(0, len(at), WINDOW_SLICE):
         first = at[begin : begin + WINDOW_SLICE, None]
-        window = count[first + np.arange(least)]
-        chosen[(first + np.argpartition(window, some - 1, 1)[:, :some]).ravel()] = True
+        chosen[(first + _rarest_of(count[first + np.arange(least)], similarity)).ravel()] = True
     return chosen
 
 
+def numbered(rows: np.ndarray) -> np.ndarray:
+    """For each place of each row how often its value stands in the row up to it."""
+    order = np.argsort(rows, 1, kind="stable")
+    ranked = np.take_along_axis(rows, order, 1)
+    place = np.arange(rows.shape[1])
+    fresh = np.ones(rows.shape, bool)
+    fresh[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    out = np.empty(rows.shape, np.int64)
+    np.put_along_axis(out, order, place - np.maximum.accumulate(np.where(fresh, place, 0), 1) + 1, 1)
+    return out
+
+
+def asked_tokens(h: np.ndarray, offsets: np.ndarray, counts: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(token, first place) of the rarest tokens of each passage.  Whatever is a near-duplicate of the passage holds one of them;
+    those that no other stretch holds are left out."""
+    plain = _token(h, 1)
+    often = counts[_cells(plain)]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.lexsort((h, row))
+    again = np.full(len(h) + 1, len(h))  # where the shingle stands next in its row
+    same = (row[place][1:] == row[place][:-1]) & (h[place][1:] == h[place][:-1])
+    again[place[:-1][same]] = place[1:][same]
+    again = np.minimum.accumulate(again[::-1])[::-1]
+    at = np.flatnonzero(window_starts(offsets, least)[0])
+    tokens, starts = [np.zeros(0, np.uint64)], [at[:0]]
+    for begin in range(0, len(at), WINDOW_SLICE):
+        first = at[begin : begin + WINDOW_SLICE]
+        places = first[:, None] + np.arange(least)
+        token, count = plain[places], often[places]
+        several = np.flatnonzero(again[first] < first + least)
+        shingle = h[places[several]]
+        token[several] = _token(shingle, numbered(shingle))
+        count[several] = counts[_cells(token[several])]
+        chosen = _rarest_of(count, similarity)
+        ask = np.take_along_axis(count, chosen, 1) > 1
+        tokens.append(np.take_along_axis(token, chosen, 1)[ask])
+        starts.append(np.repeat(first, ask.sum(1)))
+    return np.concatenate(tokens), np.concatenate(starts)
+
+
 HOLDS, PROBES = 0, 1
 
 
+def _inside(row: np.ndarray, first: np.ndarray, last: np.ndarray, spans: list) -> np.ndarray:
+    """Whether each stretch of a row lies in one of the row's spans (disjoint; rows of int64 pairs, or None)."""
+    size = np.array([len(x or b"") // 16 for x in spans], np.int64)
+    s, e = np.frombuffer(b"".join(x or b"" for x in spans), np.int64).reshape(-1, 2).T
+    owner = np.repeat(np.arange(len(spans)), size)
+    order = np.lexsort((s, owner))
+    owner, s, e = owner[order], s[order], e[order]
+    step = int(max(s.max(initial=0), first.max(initial=0))) + 1
+    at = np.searchsorted(owner * step + s, row * step + first, "right") - 1
+    out = at >= 0
+    out[out] = (owner[at[out]] == row[out]) & (e[at[out]] >= last[out])
+    return out
+
+
 def _crowd_keys(n: int, counts: np.ndarray):
-    """Every shingle of a crowded stretch with its surroundings (kind HOLDS), and the rarest of its passages, which ask."""
+    """Every token of a crowded stretch with its surroundings (kind HOLDS), and the rarest of its passages, which ask.  A
+    token asks once for all passages of a stretch that touch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid, start, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "start", "root"))
             spans = batch.column("spans").to_pylist()
             for i, j, heads, h, offsets in _stretches(batch.column("asks")):
-                size = np.diff(offsets)
-                row, place = np.repeat(np.arange(j - i), size), ranges(np.zeros(j - i, np.int64), size)
-                low, high = np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, size[row])
                 ids = np.stack((uid[i:j], heads[:, 0], start[i:j], root[i:j]), 1)
-                count = counts[_cells(h)]
-                several = np.flatnonzero(count > 1)  # what stands once has no partner
-                base = offsets[row[several]]
-                cls = stretch_hashes(h, base + low[several], base + high[several])
-                order = np.lexsort((ids[row[several], 1], cls, h[several]))
-                several, cls = several[order], cls[order]
-                fresh = np.concatenate(([True], (h[several][1:] != h[several][:-1]) | (cls[1:] != cls[:-1])))[: len(order)]
-                several, cls = several[fresh], cls[fresh]
-                out = [{"bucket": b, "kind": HOLDS, "keys": k.tobytes(), "classes": c.tobytes(), "ids": x.tobytes()} for b, k, c, x in X.split_by((mix(h[several]) % np.uint64(n)).astype(np.int64), h[several], cls, ids[row[several]])]
-                at = np.flatnonzero(rarest(count, offsets) & (count > 1))
-                r = row[at]
-                first, last = heads[r, 1] + low[at], heads[r, 1] + high[at]  # in the region
-                covered = np.array([any(s <= x and y <= e for s, e in np.frombuffer(spans[i + k] or b"", np.int64).reshape(-1, 2).tolist()) for k, x, y in zip(r.tolist(), (start[i:j][r] + first).tolist(), (start[i:j][r] + last).tolist(), strict=True)], np.int64)
-                asks = np.concatenate((ids[r], np.stack((first, last, covered), 1)), 1)
-                out += [{"bucket": b, "kind": PROBES, "keys": k.tobytes(), "ids": x.tobytes()} for b, k, x in X.split_by((mix(h[at]) % np.uint64(n)).astype(np.int64), h[at], asks)]
+                token, row, cls = held_tokens(h, offsets)
+                several = np.flatnonzero(counts[_cells(token)] > 1)  # what one stretch holds has no partner
+                order = several[np.lexsort((ids[row[several], 1], cls[several], token[several]))]
+                token, row, cls = token[order], row[order], cls[order]
+                fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))[: len(order)]
+                token, row, cls = token[fresh], row[fresh], cls[fresh]
+                out = [{"bucket": b, "kind": HOLDS, "keys": k.tobytes(), "classes": c.tobytes(), "ids": x.tobytes()} for b, k, c, x in X.split_by((mix(token) % np.uint64(n)).astype(np.int64), token, cls, ids[row])]
+                token, first = asked_tokens(h, offsets, counts)
+                row = np.searchsorted(offsets, first, "right") - 1
+                first = first - offsets[row] + heads[row, 1]  # in the region
+                covered = _inside(row, first + ids[row, 2], first + ids[row, 2] + LEAST, spans[i:j])
+                names, code = np.unique(token, return_inverse=True)
+                who, first, last = merge_spans((code * (j - i) + row) * 2 + covered, first, first + LEAST)
+                token, row = names[who // (2 * (j - i))], who // 2 % (j - i)
+                asks = np.concatenate((ids[row], np.stack((first, last, who % 2), 1)), 1)
+                out += [{"bucket": b, "kind": PROBES, "keys": k.tobytes(), "ids": x.tobytes()} for b, k, x in X.split_by((mix(token) % np.uint64(n)).astype(np.int64), token, asks)]
                 yield X.blobs(out, HELD_PA)
 
     return run
 
 
+def _numbers(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of two numbers, and which of them each row is."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    fresh = np.concatenate(([True], (rows[order][1:] != rows[order][:-1]).any(1)))[: len(rows)]
+    index = np.zeros(len(rows), np.int64)
+    index[order] = np.cumsum(fresh) - 1
+    return rows[order[fresh]], index
+
+
 def _merged(rows: np.ndarray) -> np.ndarray:
     """Rows of (partner, its start, uid, start, first, last) with the stretches of a pair merged."""
     if not len(rows):
         return rows
-    pair, code = np.unique(rows[:, :4], axis=0, return_inverse=True)
-    who, first, last = merge_spans(code.ravel(), rows[:, 4], rows[:, 5])
-    return np.concatenate((pair[who], first[:, None], last[:, None]), 1)
+    (theirs, y), (own, x) = _numbers(rows[:, :2]), _numbers(rows[:, 2:4])
+    who, first, last = merge_spans(y * len(own) + x, rows[:, 4], rows[:, 5])
+    return np.concatenate((theirs[who // len(own)], own[who % len(own)], first[:, None], last[:, None]), 1)
 
 
 def _crowd_pairs(n: int):
-    """The pairs of a bucket's shingles that are still to be compared."""
+    """The pairs of a bucket's tokens that are still to be compared."""
 
     def run(table: pa.Table) -> pa.Table:
         holds, probes = (table.filter(pc.equal(table["kind"], k)) for k in (HOLDS, PROBES))
+        asked = np.frombuffer(b"".join(probes["keys"].to_pylist()), np.uint64)
+        asks = np.frombuffer(b"".join(probes["ids"].to_pylist()), np.int64).reshape(-1, 7)
         key, cls = (np.frombuffer(b"".join(holds[c].to_pylist()), np.uint64) for c in ("keys", "classes"))
         ids = np.frombuffer(b"".join(holds["ids"].to_pylist()), np.int64).reshape(-1, 4)
-        order = np.lexsort((ids[:, 2], ids[:, 0], ids[:, 1], cls, key))
+        keys, own = np.unique(asked, return_inverse=True)
+        wanted = np.flatnonzero(np.isin(key, keys))
+        order = wanted[np.lexsort((ids[wanted, 2], ids[wanted, 0], ids[wanted, 1], cls[wanted], key[wanted]))]
         key, cls, ids = key[order], cls[order], ids[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))[: len(key)]
         key, ids = key[fresh], ids[fresh]
-        asked = np.frombuffer(b"".join(probes["keys"].to_pylist()), np.uint64)
-        asks = np.frombuffer(b"".join(probes["ids"].to_pylist()), np.int64).reshape(-1, 7)
         # By key, then component: the holders of other components stand before and after an ask's own.
         roots = np.unique(np.concatenate((ids[:, 3], asks[:, 3])))
-        keys = np.unique(np.concatenate((key, asked)))
-        group, own = np.searchsorted(keys, key), np.searchsorted(keys, asked)
+        group = np.searchsorted(keys, key)
         lane, mine = group * len(roots) + np.searchsorted(roots, ids[:, 3]), own * len(roots) + np.searchsorted(roots, asks[:, 3])
         order = np.argsort(lane, kind="stable")
         group, lane, ids = group[order], lane[order], ids[order]
@@ -588,12 +677,18 @@ def _crowd_pairs(n: int):
         right = np.where(known, np.searchsorted(lane, mine, "right"), stop)
         who = np.concatenate((np.arange(len(asks)), np.arange(len(asks))))
         at, size = np.concatenate((begin, right)), np.concatenate((left - begin, stop - right))
-        out = []
+        (theirs, y), (ours, x) = _numbers(ids[:, [0, 2]]), _numbers(asks[:, [0, 2]])
+        found = [np.zeros((0, 3), np.int64)]
         for i, j in row_slices(np.concatenate(([0], np.cumsum(size))), PAIR_STEP):
-            x, y = asks[np.repeat(who[i:j], size[i:j])], ids[ranges(at[i:j], size[i:j])]
-            earlier = y[:, 1] < x[:, 1]
-            rows = _merged(np.concatenate((y[:, [0, 2]], x[:, [0, 2, 4, 5]]), 1)[earlier])
-            out += [{"kind": LATER, "b2": b, "asks": part.tobytes()} for b, part in X.split_by(X.row_buckets(np.ascontiguousarray(rows[:, 2]), n), rows)]
+            ask, hold = np.repeat(who[i:j], size[i:j]), ranges(at[i:j], size[i:j])
+            earlier = ids[hold, 1] < asks[ask, 1]
+            ask, hold = ask[earlier], hold[earlier]
+            found.append(np.stack(merge_spans(y[hold] * len(ours) + x[ask], asks[ask, 4], asks[ask, 5]), 1))
+            if sum(map(len, found)) > PAIR_STEP and len(found) > 16:
+                found = [np.stack(merge_spans(*np.concatenate(found).T), 1)]
+        pair, first, last = merge_spans(*np.concatenate(found).T)
+        rows = np.concatenate((theirs[pair // len(ours)], ours[pair % len(ours)], first[:, None], last[:, None]), 1) if len(pair) else np.zeros((0, 6), np.int64)
+        out = [{"kind": LATER, "b2": b, "asks": part.tobytes()} for b, part in X.split_by(X.row_buckets(np.ascontiguousarray(rows[:, 2]), n), rows)]
         return pa.Table.from_pylist(out, schema=CANDIDATES_PA)
 
     return run
