@@ -251,6 +251,8 @@ REACH = int(LEAST / SIMILARITY + 1e-9)
 CELLS, CELL_PARTS = 1 << 18, 16
 #: Pairs of crowded stretches that are expanded at once.
 PAIR_STEP = 1 << 18
+#: Passages whose rarest tokens are chosen at once, of 46 numbers in some ten tables.
+PASSAGE_STEP = 1 << 12
 
 
 def _region_windows(regions) -> tuple[np.ndarray, ...]:
@@ -514,6 +516,16 @@ def held_tokens(h: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tuple
     return _token(np.repeat(name, most), ranges(np.ones(len(most), np.int64), most)), np.repeat(row, most), np.repeat(cls, most)
 
 
+def _crowd_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Crowded stretches as regions of their own."""
+    for batch in batches:
+        uid, start, b2 = (batch.column(c).to_pylist() for c in ("uid", "start", "b2"))
+        for i, j, heads, h, offsets in _stretches(batch.column("asks")):
+            parts = [h[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+            rows = zip(range(i, j), heads.tolist(), parts, strict=True)
+            yield X.blobs([{"b2": b2[k], "uid": uid[k], "rank": rank, "start": start[k] + place, "shingles": x.tobytes(), "sketch": x.astype(np.uint16).tobytes()} for k, (rank, place), x in rows], REGIONS_PA)
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many tokens of crowded stretches fall into each cell."""
     total = np.zeros(CELLS, np.int64)
@@ -569,8 +581,8 @@ def asked_tokens(h: np.ndarray, offsets: np.ndarray, counts: np.ndarray, least:
     again = np.minimum.accumulate(again[::-1])[::-1]
     at = np.flatnonzero(window_starts(offsets, least)[0])
     tokens, starts = [np.zeros(0, np.uint64)], [at[:0]]
-    for begin in range(0, len(at), WINDOW_SLICE):
-        first = at[begin : begin + WINDOW_SLICE]
+    for begin in range(0, len(at), PASSAGE_STEP):
+        first = at[begin : begin + PASSAGE_STEP]
         places = first[:, None] + np.arange(least)
         token, count = plain[places], often[places]
         several = np.flatnonzero(again[first] < first + least)
@@ -610,7 +622,7 @@ def _crowd_keys(n: int, counts: np.ndarray):
             uid, start, root = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "start", "root"))
             spans = batch.column("spans").to_pylist()
             for i, j, heads, h, offsets in _stretches(batch.column("asks")):
-                ids = np.stack((uid[i:j], heads[:, 0], start[i:j], root[i:j]), 1)
+                ids = np.stack((uid[i:j], heads[:, 0], start[i:j] + heads[:, 1], root[i:j]), 1)
                 token, row, cls = held_tokens(h, offsets)
                 several = np.flatnonzero(counts[_cells(token)] > 1)  # what one stretch holds has no partner
                 order = several[np.lexsort((ids[row[several], 1], cls[several], token[several]))]
@@ -620,7 +632,7 @@ def _crowd_keys(n: int, counts: np.ndarray):
                 out = [{"bucket": b, "kind": HOLDS, "keys": k.tobytes(), "classes": c.tobytes(), "ids": x.tobytes()} for b, k, c, x in X.split_by((mix(token) % np.uint64(n)).astype(np.int64), token, cls, ids[row])]
                 token, first = asked_tokens(h, offsets, counts)
                 row = np.searchsorted(offsets, first, "right") - 1
-                first = first - offsets[row] + heads[row, 1]  # in the region
+                first = first - offsets[row]
                 covered = _inside(row, first + ids[row, 2], first + ids[row, 2] + LEAST, spans[i:j])
                 names, code = np.unique(token, return_inverse=True)
                 who, first, last = merge_spans((code * (j - i) + row) * 2 + covered, first, first + LEAST)
@@ -669,14 +681,15 @@ def _crowd_pairs(n: int):
         roots = np.unique(np.concatenate((ids[:, 3], asks[:, 3])))
         group = np.searchsorted(keys, key)
         lane, mine = group * len(roots) + np.searchsorted(roots, ids[:, 3]), own * len(roots) + np.searchsorted(roots, asks[:, 3])
-        order = np.argsort(lane, kind="stable")
+        order = np.lexsort((ids[:, 1], lane))
         group, lane, ids = group[order], lane[order], ids[order]
         begin, stop = np.searchsorted(group, own, "left"), np.searchsorted(group, own, "right")
         known = asks[:, 6] > 0
         left = np.where(known, np.searchsorted(lane, mine, "left"), stop)
         right = np.where(known, np.searchsorted(lane, mine, "right"), stop)
-        who = np.concatenate((np.arange(len(asks)), np.arange(len(asks))))
-        at, size = np.concatenate((begin, right)), np.concatenate((left - begin, stop - right))
+        who = np.tile(np.arange(len(asks)), 3)
+        # Of its own component the first one, which may be the smallest document that the ask shares a passage with.
+        at, size = np.concatenate((begin, left, right)), np.concatenate((left - begin, np.minimum(right - left, 1), stop - right))
         (theirs, y), (ours, x) = _numbers(ids[:, [0, 2]]), _numbers(asks[:, [0, 2]])
         found = [np.zeros((0, 3), np.int64)]
         for i, j in row_slices(np.concatenate(([0], np.cumsum(size))), PAIR_STEP):
@@ -892,12 +905,18 @@ FOUND_PA = pa.schema([*[(c, pa.int64()) for c in ("uid", "other", "n_passages",
 
 def _verify(regions: pa.Table, asked: pa.Table) -> pa.Table:
     """What a bucket's documents share with earlier ones: for each its passages and words, the smallest
-    rank it is linked to and the stretches of shingles; and the links (other)."""
-    if not len(regions) or not len(asked):
+    rank it is linked to and the stretches of shingles; and the links (other).
+
+    Partners come in order of rank: an ask for what is shared by now adds nothing if the document is linked to the partner's component."""
+    if not len(asked):
         return FOUND_PA.empty_table()
+    asked = asked.sort_by("prank")
+    shared, linked = {}, set()
+    for u, asks in zip(*(asked.filter(pc.equal(asked["kind"], LATER))[c].to_pylist() for c in ("puid", "asks")), strict=True):
+        shared[u] = np.frombuffer(asks, np.int64).reshape(-1, 2).tolist()
     own = {(u, at): np.frombuffer(t, np.uint64) for u, at, t in zip(*(regions[c].to_pylist() for c in ("uid", "start", "shingles")), strict=True)}
     spans, known = [np.zeros((0, 5), np.int64)], {}
-    for kind, pu, prank, theirs, asks in zip(*(asked[c].to_pylist() for c in ("kind", "puid", "prank", "theirs", "asks")), strict=True):
+    for kind, pu, prank, root, theirs, asks in zip(*(asked[c].to_pylist() for c in ("kind", "puid", "prank", "proot", "theirs", "asks")), strict=True):
         if kind == FOUND_HERE:
             u, at, puid, rank = np.frombuffer(asks, np.int64).reshape(-1, 4).T
             spans.append(np.stack((u, at, at + LEAST, puid, rank), 1))
@@ -907,8 +926,11 @@ def _verify(regions: pa.Table, asked: pa.Table) -> pa.Table:
             spans.append(np.stack((np.full(len(rows), pu), rows[:, 0], rows[:, 1], np.full(len(rows), pu), np.full(len(rows), prank)), 1))
             continue
         y = np.frombuffer(theirs, np.uint64)
-        places = ordered(y)
+        places = None
         for u, at, x, stop in np.frombuffer(asks, np.int64).reshape(-1, 4).tolist():
+            if root is not None and (u, root) in linked and any(s <= at + x and at + stop <= e for s, e in shared.get(u, ())):
+                continue
+            places = places or ordered(y)
             piece = own[u, at][x:stop]
             # Equal pieces and regions are compared once.
             name = (piece.tobytes(), theirs)
@@ -916,6 +938,8 @@ def _verify(regions: pa.Table, asked: pa.Table) -> pa.Table:
                 parts = known[name] = aligned(piece, y, known=places)
             if parts:
                 spans.append(np.array([(u, at + x + s, at + x + e, pu, prank) for s, e in parts], np.int64))
+                linked.add((u, root))
+                shared.setdefault(u, []).extend((at + x + s, at + x + e) for s, e in parts)
     uid, start, stop, puid, prank = np.concatenate(spans).T
     if not len(uid):
         return FOUND_PA.empty_table()
@@ -959,18 +983,18 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole_regions = regions.select("b2", "uid", "rank", "start", "shingles")
     groups = whole_regions.mapInArrow(_held_keys(n, classes), HELD).groupBy("bucket").applyInArrow(_group_members(classes, leaders), GROUPS)
     candidates = materialize(whole_regions.groupBy("b2").cogroup(groups.groupBy("b2")).applyInArrow(_candidates(n), CANDIDATES), "candidates", large=True)
-    theirs = regions.select(F.col("uid").alias("puid"), F.col("start").alias("pstart"), F.col("rank").alias("prank"), F.col("shingles").alias("theirs"))
-    columns = ["kind", "b2", "puid", "prank", "theirs", "asks"]
+    columns = ["kind", "b2", "puid", "prank", "proot", "theirs", "asks"]
 
-    def compared(asks: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    def compared(regions: DataFrame, asks: DataFrame, more: DataFrame, name: str) -> DataFrame:
         """The asks with their partners' shingles, and found places, against the regions."""
+        theirs = regions.select(F.col("uid").alias("puid"), F.col("start").alias("pstart"), F.col("rank").alias("prank"), F.col("shingles").alias("theirs"))
         asked = asks.join(theirs, ["puid", "pstart"]).select(*columns).unionByName(more.select(*columns))
         return materialize(regions.select("b2", "uid", "start", "shingles").groupBy("b2").cogroup(asked.groupBy("b2")).applyInArrow(_verify, FOUND), name, large=True)
 
     null = lambda kind: F.lit(None).cast(kind)
     same = candidates.where(f"kind = {LOOK_UP}").groupBy("b2").applyInArrow(_same_content(n), CANDIDATES)
-    same = same.unionByName(candidates.where(f"kind = {FOUND_HERE}")).withColumns({"prank": null("long"), "theirs": null("binary")})
-    turn = compared(candidates.where(f"kind = {COMPARE}"), same, "first_turn")
+    same = same.unionByName(candidates.where(f"kind = {FOUND_HERE}")).withColumns({"prank": null("long"), "proot": null("long"), "theirs": null("binary")})
+    turn = compared(regions, candidates.where(f"kind = {COMPARE}").withColumn("proot", null("long")), same, "first_turn")
     shared = turn.where("other IS NULL").withColumn("b2", X.row_bucket_column("uid", n))
     roots = materialize(connect(turn.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b"))), "roots")
     pairs = candidates.where(f"kind = {LATER}").select("b2", "asks").mapInArrow(_pairs, PAIRS)
@@ -979,17 +1003,19 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.withColumn("same", F.coalesce("r_uid", "uid") == F.coalesce("r_puid", "puid")).select("b2", *PAIR, "same")
     todo = pairs.groupBy("b2").cogroup(shared.select("b2", "uid", "spans").groupBy("b2")).applyInArrow(_not_yet, CANDIDATES)
     todo = materialize(todo, "todo", large=True)
-    # Most pairs of the second turn only share less than a passage: sketches tell, a quarter of the shingles' size.
-    sketches = regions.select(F.col("uid").alias("puid"), F.col("start").alias("pstart"), F.col("sketch").alias("theirs"))
 
-    def sifted(todo: DataFrame, shared: DataFrame, name: str) -> DataFrame:
-        """The asks that the sketches leave are compared; with what is shared already."""
+    def sifted(regions: DataFrame, todo: DataFrame, shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """The asks that the sketches leave are compared; with what is shared already.
+
+        Most pairs of the second turn only share less than a passage: sketches tell, a quarter of the shingles' size."""
+        sketches = regions.select(F.col("uid").alias("puid"), F.col("start").alias("pstart"), F.col("sketch").alias("theirs"))
         asked = todo.join(sketches, ["puid", "pstart"]).select("b2", "puid", "pstart", "theirs", "asks")
         possible = regions.select("b2", "uid", "start", "sketch").groupBy("b2").cogroup(asked.groupBy("b2")).applyInArrow(_possible, CANDIDATES)
+        possible = possible.join(roots.select(F.col("node").alias("puid"), F.col("root").alias("proot")), "puid", "left").withColumn("proot", F.coalesce("proot", "puid"))
         possible = materialize(possible, "possible", large=True)
         discard(todo)
-        before = shared.select(F.lit(LATER).alias("kind"), "b2", F.col("uid").alias("puid"), F.col("least").alias("prank"), null("binary").alias("theirs"), F.col("spans").alias("asks"))
-        found = compared(possible, before, name)
+        before = shared.select(F.lit(LATER).alias("kind"), "b2", F.col("uid").alias("puid"), F.col("least").alias("prank"), null("long").alias("proot"), null("binary").alias("theirs"), F.col("spans").alias("asks"))
+        found = compared(regions, possible, before, name)
         discard(possible)
         return found
 
@@ -998,11 +1024,12 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = found.where("other IS NOT NULL").select(F.col("uid").alias("a"), F.col("other").alias("b"))
         return connect(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    found = sifted(todo, shared, "second_turn")
+    found = sifted(regions, todo, shared, roots, "second_turn")
     roots = linked(found, roots)
     # What only crowded keys hold, if there is any.
-    crowd = candidates.where(f"kind = {CROWDED}").select(F.col("puid").alias("uid"), F.col("pstart").alias("start"), "asks")
+    crowd = candidates.where(f"kind = {CROWDED}").select("b2", F.col("puid").alias("uid"), F.col("pstart").alias("start"), "asks")
     if not crowd.isEmpty():
+        stretches = materialize(crowd.mapInArrow(_crowd_regions, REGIONS), "stretches")
         counts = crowd.select("asks").mapInArrow(_count_cells, "part long, cells binary").groupBy("part").applyInArrow(_add_cells, "part long, cells binary")
         # 2 MB, whatever the input.
         counts = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in sorted(counts.collect(), key=lambda r: r["part"])])
@@ -1011,7 +1038,8 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = crowd.mapInArrow(_crowd_keys(n, counts), HELD).groupBy("bucket").applyInArrow(_crowd_pairs(n), CANDIDATES)
         todo = materialize(pairs.groupBy("b2").applyInArrow(_crowd_asks, CANDIDATES), "todo", large=True)
         shared = found.where("other IS NULL").withColumn("b2", X.row_bucket_column("uid", n))
-        found = sifted(todo, shared, "third_turn")
+        found = sifted(stretches, todo, shared, roots, "third_turn")
+        discard(stretches)
         roots = linked(found, roots)
     discard(candidates)
     discard(regions)
