@@ -26,8 +26,9 @@ about two for 46 shingles.
    and with the partners that their other keys name.
 6. What is left is pairs whose keys are crowded under every function that agrees.  Stretches with four crowded
    functions are joined without a bound, by prefixes: near-duplicates differ in five of 46 shingles at most, so one of
-   the six rarest of each passage stands in the partner as well.  Each of these is compared with the first region of every class
-   that holds it, but for those of its own component where it is known to be shared already.
+   the six rarest of each passage stands in the partner as well; the n-th time of a shingle counts as one of its own, so that a run of one
+   word only meets runs as long.  Each of these is compared with the first stretch of every class
+   that holds it; of its own component, where it is known to be shared already, with the first one only.
 
 So exact repeats of 50 words are all found; a near-duplicate is missed only if the hashes of fewer than four
 functions agree.
