@@ -1,9 +1,12 @@
 """Raster queries over the whole raster, whatever the table's size."""
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tilewright.plans import QUERIES
+from tilewright.operators import raster as R
+from tilewright.plans import ORACLES, QUERIES
 from tilewright.sources import views as V
 
 
@@ -32,3 +35,17 @@ def test_median_filter_of_the_whole_raster(spark, vectors):
     for (x, y), v in raster.items():
         m = np.median([raster[x + i, y + j] for i in range(-2, 3) for j in range(-2, 3) if (x + i, y + j) in raster])
         assert got[x, y] == min(255.0, max(0.0, v + (v - m)))
+
+
+def test_thumbnail_of_a_raster_too_narrow_for_a_pixel(spark, tmp_path):
+    e = spark.createDataFrame([(0, [0.1] * 64, 1), (40_000, [0.2] * 64, 1)], "vec_id long, embedding array<float>, label int")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["thumbnail"](spark, str(tmp_path))
+    want = duckdb.sql(ORACLES["thumbnail"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert got.columns == ["x", "y", "value"] and got.collect() == want == []
+
+
+def test_region_without_a_side_is_empty(spark):
+    pixels = spark.range(12).select((F.col("id") % 4).alias("x"), F.expr("id div 4").alias("y"), F.col("id").cast("int").alias("value"))
+    assert R.region_nearest(pixels, 0, 0, 4, 3, 0, 3).collect() == []
+    assert {(r.x, r.y): r.value for r in R.region_nearest(pixels, 0, 0, 4, 3, 3, 2).collect()} == {(i, j): i * 4 // 3 + j * 3 // 2 * 4 for i in range(3) for j in range(2)}
