@@ -1,5 +1,7 @@
 """Raster queries over the whole raster, whatever the table's size."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -49,3 +51,21 @@ def test_region_without_a_side_is_empty(spark):
     pixels = spark.range(12).select((F.col("id") % 4).alias("x"), F.expr("id div 4").alias("y"), F.col("id").cast("int").alias("value"))
     assert R.region_nearest(pixels, 0, 0, 4, 3, 0, 3).collect() == []
     assert {(r.x, r.y): r.value for r in R.region_nearest(pixels, 0, 0, 4, 3, 3, 2).collect()} == {(i, j): i * 4 // 3 + j * 3 // 2 * 4 for i in range(3) for j in range(2)}
+
+
+def test_letterbox_joins_the_raster_only(spark, vectors):
+    """The square around a raster grows with the square of its height: it must not be shuffled."""
+    folder, values = vectors
+    box = QUERIES["letterbox"](spark, folder)
+    raster = {(k % 25 * 8 + d % 8, k // 25 * 8 + d // 8): values[k, d] for k in range(602) for d in range(64)}
+    assert {(r.x, r.y): r.value for r in box.collect()} == {(x, y): raster.get((x - 10, y - 10), 255) for x in range(220) for y in range(220)}
+    joined = re.findall(r"Join.*?Range \(0, (\d+)", box._jdf.queryExecution().optimizedPlan().toString(), re.S)
+    assert joined == [str(200 * 200)]
+
+
+@pytest.mark.parametrize("left, top", [(0, 0), (3, 1), (5, 4)])
+def test_canvas_holds_every_cell_once(spark, left, top):
+    pixels = spark.range(12).where("id <> 7").select((F.col("id") % 4).alias("x"), F.expr("id div 4").alias("y"), F.col("id").cast("int").alias("value"))
+    got = sorted((r.x, r.y, r.value) for r in R.on_canvas(pixels, 4, 3, 9, 7, left, top, -1).collect())
+    inside = lambda x, y: left <= x < left + 4 and top <= y < top + 3 and (x, y) != (left + 3, top + 1)
+    assert got == sorted((x, y, x - left + (y - top) * 4 if inside(x, y) else -1) for x in range(9) for y in range(7))
