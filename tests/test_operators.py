@@ -93,6 +93,24 @@ def test_band_join_against_all_pairs(spark):
     assert got == {(i, j) for i in range(60) for j in range(60) if (abs(a[i] - b[j]) <= 4).all()}
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 0.1, 2.0])
+def test_band_join_at_the_edges_of_cells(spark, tolerance):
+    a = [k * tolerance / 2 - 7 for k in range(80)] if tolerance else [-13.0, -1.0, 0.0, 1.0, 13.0]
+    frame = lambda: spark.createDataFrame([(k, v, v, v, v) for k, v in enumerate(a)], "id long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.a_id, r.b_id) for r in E.band_join(frame(), frame(), tolerance).collect())
+    assert got == sorted((i, j) for i, v in enumerate(a) for j, w in enumerate(a) if abs(v - w) <= tolerance)
+
+
+def test_band_join_sends_few_boxes_twice(spark):
+    """Rows that the join reads of the side that is sent to several cells."""
+    rng = np.random.default_rng(5)
+    boxes = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rng.integers(0, 10_000, (2000, 4)))], "id long, x0 double, y0 double, x1 double, y1 double")
+    plan = E.band_join(boxes, boxes, 2.0)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert 2000 < spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.right()).count() < 2 * 2000
+
+
 @pytest.mark.parametrize("text, want", [("40", (40.0, 10.0)), ("12", (12.0, 1.0)), ("0.25", (0.25, 0.01)), ("-3", (-3.0, 1.0)), ("x", None)])
 def test_number_step(text, want):
     got = C.number_step(text)

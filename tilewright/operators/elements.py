@@ -74,16 +74,16 @@ def nth_version(df: DataFrame, by: list[str], version: str, n: int, keep: list[s
 def band_join(a: DataFrame, b: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """Pairs of boxes (columns id, x0, y0, x1, y1) whose four edges differ by ``tolerance`` at most.
 
-    Both sides go into cells of the first corner as wide as the tolerance; one side is sent to the
-    neighbouring cells, so equal cells are joined and nothing is compared across them.
+    Both sides go into cells of the first corner, several times as wide as the tolerance.  A box of one side is in one cell, a box of
+    the other in each that its tolerance reaches, mostly one, so equal cells are joined and few rows are sent twice.
     """
-    cell = 2 * tolerance + 1
-    near = F.sequence(F.lit(-1), F.lit(1))
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1")]).withColumns({"bx": F.floor(F.col("a_x0") / cell), "by": F.floor(F.col("a_y0") / cell)})
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
-    right = right.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    right = right.withColumns({"bx": F.floor(F.col("b_x0") / cell) + F.col("dx"), "by": F.floor(F.col("b_y0") / cell) + F.col("dy")}).drop("dx", "dy")
+    cell = 6 * tolerance + 1
+    reach = 1.125 * tolerance  # a little more than the tolerance, so that rounding loses no pair
+    names = ("x0", "y0", "x1", "y1")
+    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("id", *names)], F.floor(F.col("x0") / cell).alias("bx"), F.floor(F.col("y0") / cell).alias("by"))
+    reached = lambda c: F.explode(F.sequence(F.floor((F.col(f"b_{c}") - reach) / cell), F.floor((F.col(f"b_{c}") + reach) / cell)))
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("id", *names)]).withColumn("bx", reached("x0")).withColumn("by", reached("y0"))
     close = F.lit(True)
-    for e in ("x0", "y0", "x1", "y1"):
+    for e in names:
         close = close & (F.abs(F.col(f"a_{e}") - F.col(f"b_{e}")) <= tolerance)
     return left.join(right, ["bx", "by"]).where(close).drop("bx", "by")
