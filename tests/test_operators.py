@@ -1,6 +1,7 @@
 """Operators on small fixtures, with values worked out by hand or by brute force."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import style as S
 from tilewright.functions.json_patch import apply_patch
+from tilewright.operators import batches as B
 from tilewright.operators import catalog as C
 from tilewright.operators import elements as E
 from tilewright.operators import raster as R
@@ -93,6 +95,45 @@ def test_band_join_against_all_pairs(spark):
     assert got == {(i, j) for i in range(60) for j in range(60) if (abs(a[i] - b[j]) <= 4).all()}
 
 
+def _kd_by_sorting(rows, depth):
+    """chunk by id of rows (id, x, y) whose halves are found by sorting."""
+    parts = [(0, rows)]
+    for level in range(depth):
+        last = lambda r: [(v is None, v or 0) for v in (r[1 + level % 2], r[0])]
+        parts = [(c * 2 + h, part) for c, p in parts for h, part in enumerate((sorted(p, key=last)[: -(-len(p) // 2)], sorted(p, key=last)[-(-len(p) // 2) :]))]
+    return sorted((r[0], c) for c, p in parts for r in p)
+
+
+@pytest.mark.parametrize("n, distinct", [(0, 5), (1, 5), (6, 2), (97, 7), (97, 1000)])
+def test_kd_chunks_against_sorting(spark, monkeypatch, n, distinct):
+    rng = np.random.default_rng(n + distinct)
+    rows = [(int(k), *[float(v) if v % 11 else None for v in r]) for k, r in zip(rng.permutation(n), rng.integers(0, distinct, (n, 2)) + 1, strict=True)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    for few in (B.FEW, 3):  # all at once, and by quantiles
+        monkeypatch.setattr(B, "FEW", few)
+        got = sorted((r.id, r.chunk) for r in B.kd_chunks(points, 3, key="id").collect())
+        assert got == _kd_by_sorting(rows, 3), few
+
+
+def test_kd_chunks_of_copies(spark):
+    """Rows that are alike in all columns are dealt to both halves."""
+    points = spark.createDataFrame([(7, 1.0, 2.0)] * 8 + [(2**60 + 1, 3.0, 4.0)] * 4, "id long, x double, y double")
+    got = B.kd_chunks(points, 2, key="id").groupBy("chunk").agg(F.count("*").alias("n")).collect()
+    assert {r.chunk: r.n for r in got} == {0: 3, 1: 3, 2: 3, 3: 3}
+
+
+def test_kth_of_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(B, "FEW", 2)
+    rows = spark.createDataFrame([(2**60 + k // 2,) for k in range(30)], "id long")
+    assert [B._kth(rows, "id", k, 30) for k in (0, 13, 29)] == [(2**60, 0, 2), (2**60 + 6, 12, 2), (2**60 + 14, 28, 2)]
+
+
+def test_kd_chunks_sort_nothing(spark):
+    """A window over all points would bring them to one task."""
+    plan = B.kd_chunks(spark.range(50).selectExpr("id", "id % 7 AS x", "id % 5 AS y"), 2, key="id")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Window|Exchange|Sort", plan)
+
+
 @pytest.mark.parametrize("tolerance", [0.0, 0.1, 2.0])
 def test_band_join_at_the_edges_of_cells(spark, tolerance):
     a = [k * tolerance / 2 - 7 for k in range(80)] if tolerance else [-13.0, -1.0, 0.0, 1.0, 13.0]

@@ -40,18 +40,80 @@ def grid_chunks(tiles: DataFrame, across: int, down: int) -> DataFrame:
     return tiles.groupBy(*by).agg(F.count("*").alias("tiles"), *box).withColumn("whole", F.col("tiles") == across * down)
 
 
+#: Accuracy of approximate quantiles, and the number of values that are sorted at once.
+ACCURACY, FEW = 10_000, 4096
+
+
+def _kth(rows: DataFrame, column: str, k: int, n: int) -> tuple[object, int, int]:
+    """The value of rank ``k`` (from 0, nulls last) of a number column of ``n`` rows, the rows below it, and those equal to it.
+
+    Approximate quantiles give an interval around the rank, and exact counts tell in which part of it, or outside, the rank
+    falls; that goes on within the part.  Each step is an aggregate with map-side sums, so a task holds no more than a sketch.
+    """
+    c, below, stuck = F.col(column), 0, False
+    while n > FEW:
+        share, wide = (k - below) / n, 4.0 / ACCURACY
+        ends = [F.min(c), F.max(c)] if stuck else [F.percentile_approx(c, p, ACCURACY) for p in (max(0.0, share - wide), min(1.0, share + wide))]
+        low, high = rows.agg(*ends).first()
+        if low is None:
+            return None, below, n
+        parts = [(c < low, None), (c == low, low), ((c > low) & (c < high), None), ((c == high) & (c > low), high), (c > high, None), (c.isNull(), None)]
+        counts = rows.agg(*[F.count_if(p) for p, _ in parts]).first()
+        for (part, value), count in zip(parts, counts, strict=True):
+            if k < below + count:
+                break
+            below += count
+        if value is not None:
+            return value, below, count
+        # Quantiles are doubles: of whole numbers beyond 2 ** 53 they may be no value of the column.
+        rows, stuck, n = rows.where(part), count == n, count
+    values = rows.agg(F.sort_array(F.collect_list(c))).first()[0]
+    if k - below >= len(values):
+        return None, below + len(values), n - len(values)
+    v = values[k - below]
+    equal = [j for j, w in enumerate(values) if w == v or w != w and v != v]
+    return v, below + equal[0], len(equal)
+
+
+def _upper_half(rows: DataFrame, n: int, order: list[str]) -> tuple[Column, bool]:
+    """Whether a row is in the upper half of ``n`` rows in an order, nulls last; and whether no rows that are equal in the order fall into both halves."""
+    k = -(-n // 2)
+    upper, same = F.lit(False), F.lit(True)
+    for column in order:
+        value, below, n = _kth(rows.where(same), column, k, n)
+        k -= below
+        c = F.col(column)
+        after = F.lit(False) if value is None else c.isNull() | (c > value)
+        upper, same = upper | (same & after), same & c.eqNullSafe(F.lit(value))
+    return upper | same, k == 0
+
+
 def kd_chunks(points: DataFrame, depth: int, x: str = "x", y: str = "y", key: str = "position") -> DataFrame:
-    """``chunk`` of scattered tiles by a k-d tree: halves by rank along x and y in turn, ``depth`` times.
+    """``chunk`` of scattered tiles by a k-d tree: halves by rank along x and y in turn (number columns, nulls last, ties by
+    the number ``key``), ``depth`` times.
 
-    Each split is a window over the parts of the one before, so all but the first are spread over tasks.
+    The rows at which the parts are split are searched by aggregates, so nothing is sorted or shuffled; the chunk of a row
+    follows from comparisons with these 2 ** depth - 1 rows.  Rows that share a key are numbered first if a split needs it.
     """
-    out = points.withColumn("chunk", F.lit(0).cast("long"))
-    for level in range(depth):
-        axis = x if level % 2 == 0 else y
-        part = Window.partitionBy("chunk")
-        place = F.row_number().over(part.orderBy(axis, key)) - 1
-        out = out.withColumn("half", (place * 2 >= F.count("*").over(part)).cast("long")).withColumn("chunk", F.col("chunk") * 2 + F.col("half")).drop("half")
-    return out
+
+    def chunk(part: DataFrame, n: int, level: int, ties: list[str]) -> Column | None:
+        """Chunk of the rows of a part of ``n`` rows, among those of its size; none if equal rows would have to be split."""
+        if level == depth or n < 2:
+            return F.lit(0).cast("long")
+        upper, clean = _upper_half(part, n, [y if level % 2 else x, *ties])
+        if not clean:
+            return None
+        high, low = chunk(part.where(upper), n // 2, level + 1, ties), chunk(part.where(~upper), n - n // 2, level + 1, ties)
+        if high is None or low is None:
+            return None
+        return F.when(upper, high + (1 << (depth - 1 - level))).otherwise(low)
+
+    n = points.count()
+    found = chunk(points, n, 0, [key])
+    if found is not None:
+        return points.withColumn("chunk", found)
+    numbered = points.withColumn("copy", F.row_number().over(Window.partitionBy(key).orderBy(x, y)))
+    return numbered.withColumn("chunk", chunk(numbered, n, 0, [key, "copy"])).drop("copy")
 
 
 def batch_plan(tiles: DataFrame, batch: int, chunk: list[str]) -> DataFrame:
